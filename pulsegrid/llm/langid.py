@@ -124,8 +124,8 @@ def mixtures(word: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray
     return best
 
 
-def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, lang_pred, score, languages, proportions): languages present, most first."""
+def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, languages, proportions) and the columns named in carry: languages present, most first."""
     model = docs.sparkSession.sparkContext.broadcast(logs)  # cells x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +144,11 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str =
                     order = [j for j in np.argsort(-share[i], kind="stable") if share[i, j] > 0]
                     rows.append((langs[order[0]], min(1.0, float(share[i, order[0]])), [langs[j] for j in order], [float(share[i, j]) for j in order]))
             a, s, l, p = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(a, pa.string()), pa.array(s, pa.float64()), pa.array(l, pa.list_(pa.string())), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(a, pa.string()), pa.array(s, pa.float64()), pa.array(l, pa.list_(pa.string())), pa.array(p, pa.list_(pa.float64())), *(b.column(f"c{j}") for j in range(len(carry)))], ["doc_id", "lang_pred", "score", "languages", "proportions", *(f"c{j}" for j in range(len(carry)))])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
+    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(f"c{j}") for j, c in enumerate(carry)))
+    schema = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>" + "".join(f", c{j} {taken.schema[f'c{j}'].dataType.simpleString()}" for j in range(len(carry)))
+    return taken.mapInArrow(run, schema).withColumnsRenamed({f"c{j}": c for j, c in enumerate(carry)})
 
 
 def train_fold(docs: DataFrame, folds: int = 4, out: int = 2) -> tuple[list[str], np.ndarray]:

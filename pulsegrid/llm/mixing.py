@@ -132,6 +132,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return both.select("doc_id", "size", "source", "source_size", "target", "mark", F.when(F.col("size") > 0, F.col("whole") + F.col("once")).otherwise(0).alias("times"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken."""
+    got = mix(docs, id_col, text_col, source_col, seed).groupBy("doc_id", "mark").agg(F.sum("times").alias("m_times"), F.count("*").alias("m_rows")).where("m_times > 0")
+    got = got.select(F.col("doc_id").alias("m_id"), F.col("mark").alias("m_mark"), "m_times", "m_rows")
+    marked = docs.withColumn("m_own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    out = marked.join(got, F.col(id_col).cast("long").eqNullSafe(F.col("m_id")) & (F.col("m_own") == F.col("m_mark")))
+    # Rows equal in id and text share what they were given.
+    own = F.row_number().over(Window.partitionBy("m_id", "m_mark").orderBy("m_times"))
+    times = F.expr("m_times div m_rows") + (F.col("m_row") <= F.col("m_times") % F.col("m_rows")).cast("long")
+    return out.withColumn("m_row", own).withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))

@@ -220,10 +220,11 @@ def cut_words(words: list[bytes], starts: list[bytes], size: int) -> list[bytes]
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, text, n_words, n_removed): texts without repeated windows, kept words joined by one space; a null text gives an empty one."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    docs = docs.select("id", "t", F.coalesce("id", F.lit(LAST)).alias("doc"), F.xxhash64("t").alias("row"))
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_bits: int = MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_words, n_removed) and the columns named in carry: texts without repeated windows, kept words joined by one space; a null text gives an empty one."""
+    names = [f"c{j}" for j in range(len(carry))]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for n, c in zip(names, carry, strict=True)))
+    docs = docs.select("id", "t", F.coalesce("id", F.lit(LAST)).alias("doc"), F.xxhash64("t").alias("row"), *names)
     windows = text_bytes_total(docs, "t") // 5
     bits = min(most_bits, max(16, windows.bit_length() + 1))
     cuts = removed_words(docs, bits, size, windows).groupBy("doc", "row").agg(F.collect_list("at").alias("at"))
@@ -237,9 +238,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 texts.append(b" ".join(kept))
                 counts.append(len(words))
                 gone.append(len(words) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), *(b.column(n) for n in names)], ["doc_id", "text", "n_words", "n_removed", *names])
 
-    return docs.join(cuts, ["doc", "row"], "left").select("id", "t", "at").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
+    schema = "doc_id long, text string, n_words long, n_removed long" + "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    out = docs.join(cuts, ["doc", "row"], "left").select("id", "t", "at", *names).mapInArrow(cut, schema)
+    return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
