@@ -129,7 +129,7 @@ def decoded(bodies: DataFrame) -> DataFrame:
 
 def flattened(rows: DataFrame) -> DataFrame:
     """Wire rows: __name__ becomes the metric, other labels of that kind go, samples without a name go."""
-    name = F.get(F.filter("labels", lambda x: x.name == "__name__"), F.lit(0)).value
-    own = F.filter("labels", lambda x: ~x.name.startswith("__"))
-    labels = F.map_from_entries(F.transform(own, lambda x: F.struct(x.name, x.value)))
+    name = F.get(F.filter("labels", lambda x: x["name"] == "__name__"), F.lit(0))["value"]
+    own = F.filter("labels", lambda x: ~x["name"].startswith("__"))
+    labels = F.map_from_entries(F.transform(own, lambda x: F.struct(x["name"], x["value"])))
     return rows.where("error is null").select("request", name.alias("metric"), labels.alias("labels"), "ts", "value").where("metric is not null and metric != ''")
