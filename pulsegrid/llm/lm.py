@@ -45,7 +45,7 @@ ORDER = 5
 START, STOP = 0xFE, 0xFF
 #: Symbols that may follow: all bytes but the start mark.
 SYMBOLS = 255
-RUNS, HOT, LEAST_HOT = 1 << 20, 1 << 17, 64
+RUNS, HOT, LEAST_HOT = 1 << 19, 1 << 17, 64
 #: Bytes of text handled at once, words held by a task before it sends them, bytes of text for each shard.
 PIECE, HELD, SHARD = 1_500_000, 300_000, 64_000_000
 SMOOTH = 0.1
@@ -205,6 +205,13 @@ class Trie:
         return out
 
 
+def sorted_columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of longs on the driver, by the first one taken as unsigned."""
+    a, b = (c.to_numpy() for c in df.toArrow().columns)
+    order = np.argsort(a.view(np.uint64))
+    return a[order].view(np.uint64), b[order]
+
+
 def train(docs: DataFrame, runs: int = RUNS) -> tuple:
     """What a Trie is made of, from the texts t of docs."""
     counted = materialise(count_runs(docs))
@@ -220,10 +227,10 @@ def train(docs: DataFrame, runs: int = RUNS) -> tuple:
     for j in range(ORDER + 1):
         grams = counted if j == ORDER else counted.groupBy(F.col("run").bitwiseAND(mask(j)).alias("run")).agg(F.sum("n").alias("n"))
         context = F.shiftrightunsigned("run", 8)
-        level = grams.where(F.col("n") >= least).toPandas().sort_values("run")  # at most `runs` rows: each has a longer run, or several, of no higher count
-        of = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least).toPandas().sort_values("context")
-        levels.append((level["run"].to_numpy(np.int64).astype(np.uint64), level["n"].to_numpy(np.int64)))
-        contexts.append(tuple(of[c].to_numpy(np.int64).astype(np.uint64 if c == "context" else np.float64) for c in ("context", "total")))
+        level = grams.where(F.col("n") >= least).select("run", "n")  # at most `runs` rows: each has a longer run, or several, of no higher count
+        of = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least).select("context", "total")
+        levels.append(sorted_columns(level))
+        contexts.append(sorted_columns(of))
     return levels, contexts
 
 
