@@ -39,7 +39,7 @@ SIZE = 13
 #: Most bits of a sketch row; two rows of 2**28 counters are 64 MB when cut to a bit each.
 MOST_BITS, RANGE_BITS = 28, 22
 #: Windows that a task holds before it sends them on, and that one group is meant to read.
-HELD, GROUP = 3_000_000, 4_000_000
+HELD, GROUP = 1_000_000, 4_000_000
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(13)
@@ -88,7 +88,7 @@ def batches_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Reco
         at, texts = 0, text_bytes(b, "t")
         while at < len(texts):
             to, held = at, 0
-            while to < len(texts) and (to == at or held < 8_000_000):
+            while to < len(texts) and (to == at or held < 3_000_000):
                 held += len(texts[to] or b"")
                 to += 1
             yield b.slice(at, to - at), [words_of(t) for t in texts[at:to]]
