@@ -102,7 +102,10 @@ def length_plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
         size, n = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
         extra, words = np.zeros(len(rows), np.int64), size > 0
         extra[words] = fill(size[words], n[words], target - whole * own)
-        return rows.assign(whole=np.int64(whole), extra=extra)
+        left = target - whole * own - int(extra @ size)
+        if left > 0:  # once more of each doesn't meet the budget: up to MOST times
+            extra[words] += fill(size[words], n[words] * (MOST - whole) - extra[words], left)
+        return rows.assign(whole=whole + extra // n, extra=extra % n)
 
     return lengths.join(targets, lengths.source.eqNullSafe(targets.source)).drop(targets.source).groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long")
 
