@@ -92,6 +92,16 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIN
     return take
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Filled from below, or from above by what is left out, whichever comes nearer to budget."""
+    total = int(lengths @ counts)
+    below = fill(lengths, counts, budget)
+    if int(lengths @ below) >= min(budget, total):
+        return below
+    above = counts - fill(lengths, counts, total - budget)
+    return above if int(lengths @ above) - budget < budget - int(lengths @ below) else below
+
+
 def length_plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, size, n) and targets -> (source, size, n, whole, extra): whole reads of all, and documents of that size to take once more."""
 
@@ -101,7 +111,7 @@ def length_plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
         whole = target // own if own else 0
         size, n = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
         extra, words = np.zeros(len(rows), np.int64), size > 0
-        extra[words] = fill(size[words], n[words], target - whole * own)
+        extra[words] = nearest(size[words], n[words], target - whole * own)
         left = target - whole * own - int(extra @ size)
         if left > 0:  # once more of each doesn't meet the budget: up to MOST times
             extra[words] += fill(size[words], n[words] * (MOST - whole) - extra[words], left)
