@@ -118,7 +118,7 @@ def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
         for _, words in batches_of_docs(batches):
             _, _, a, b = window_hashes(words, size)
             held.append(np.stack([a, b]))
-            if sum(x.shape[1] for x in held) >= 2 * HELD:
+            if sum(x.shape[1] for x in held) >= 4 * HELD:
                 yield send()
         if held:
             yield send()
@@ -172,7 +172,9 @@ def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFr
             for s in range(shards):
                 cut, own = np.flatnonzero((shard == s) & later), np.flatnonzero((shard == s) & ~later)
                 if len(cut) or len(own):
-                    packed = [deflate(x) for x in (a[own], b[own].astype(np.uint32), doc[own], row[own], pos[own].astype(np.uint32), doc[cut], row[cut], pos[cut].astype(np.uint32))]
+                    # In the order of the texts, in which documents and places pack well.
+                    own, cut = own[np.argsort(order[own])], cut[np.argsort(order[cut])]
+                    packed = [deflate(x) for x in (a[own], b[own].astype(np.uint32), doc[own], row[own], np.diff(pos[own], prepend=0).astype(np.int32), doc[cut], row[cut], np.diff(pos[cut], prepend=0).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", *FIELDS])
 
         for batch, words in batches_of_docs(batches):
@@ -190,10 +192,14 @@ def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFr
             yield from send()
 
     FIELDS = ["a", "b", "doc", "row", "pos", "cut_doc", "cut_row", "cut_pos"]
-    kinds = [np.uint64, np.uint32, np.int64, np.int64, np.uint32, np.int64, np.int64, np.uint32]
+    kinds = [np.uint64, np.uint32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32]
+
+    def unpacked(blob: bytes, name: str, kind) -> np.ndarray:
+        got = inflate(blob, kind)
+        return np.cumsum(got, dtype=np.int64).astype(np.uint32) if "pos" in name else got
 
     def answer(messages: pa.Table) -> pa.Table:
-        a, b, doc, row, pos, cut_doc, cut_row, cut_pos = (np.concatenate([inflate(x, k) for x in messages.column(f).to_pylist()]) for f, k in zip(FIELDS, kinds, strict=True))
+        a, b, doc, row, pos, cut_doc, cut_row, cut_pos = (np.concatenate([unpacked(x, f, k) for x in messages.column(f).to_pylist()]) for f, k in zip(FIELDS, kinds, strict=True))
         order = np.lexsort((doc, b, a))
         a, b, doc, row, pos = a[order], b[order], doc[order], row[order], pos[order]
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
