@@ -6,12 +6,13 @@ contexts of one length. A byte is predicted from its longest known context; if
 unseen there, the context's escape is paid and the next shorter one is asked
 without the bytes that the longer one knew (symbol exclusion), down to equal
 chances for bytes never seen. Every byte seen after a context gives half a count to the
-escape, which also has the mass of the context's runs that the bounded table
-left out.
+escape.
 
-Counting covers all training texts. What is broadcast has a fixed bound: at
-most ``runs`` runs of each length, the most frequent ones (the least count that
-keeps the table within bounds holds for all lengths alike).
+The model is whole and stays distributed: it is cut into parts by the last two
+bytes of contexts, and each part works out the cost of every run that any text
+has. Broadcast is only a cache: the costs of the most frequent runs, at most
+``runs``. All other runs are looked up by a shuffle, as rare words are, so scores do not
+depend on ``runs``.
 
 Word baseline: hot words, at most ``hot`` by the threshold's arithmetic, are
 broadcast with their counts; all other words are looked up by a shuffle of packed
@@ -34,6 +35,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +47,12 @@ ORDER = 5
 START, STOP = 0xFE, 0xFF
 #: Symbols that may follow: all bytes but the start mark.
 SYMBOLS = 255
-RUNS, HOT, LEAST_HOT = 1 << 19, 1 << 17, 64
+RUNS, HOT, LEAST_HOT = 1 << 20, 1 << 17, 64
+#: Distinct runs that one part of the model is meant to hold.
+PART = 1_000_000
+#: No run has this number; an odd multiplier that mixes numbers.
+FREE, MIX = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
+RUN_COUNT = pa.schema([("run", pa.uint64()), ("n", pa.int64())])
 #: Bytes of text handled at once, words held by a task before it sends them, bytes of text for each shard.
 PIECE, HELD, SHARD = 1_500_000, 300_000, 64_000_000
 SMOOTH = 0.1
@@ -80,38 +87,56 @@ def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, list[by
 
 
 def count_runs(docs: DataFrame) -> DataFrame:
-    """(run, n) over all texts t."""
+    """(run, n, every) over all texts t: how often a run is in training texts, and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            runs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        def merged() -> tuple[np.ndarray, ...]:
+            runs, n, every = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(runs, kind="stable")
-            runs, n = runs[order], n[order]
+            runs, n, every = runs[order], n[order], every[order]
             first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-            return runs[first], np.add.reduceat(n, first)
+            return runs[first], np.add.reduceat(n, first), np.add.reduceat(every, first)
 
-        def rows(runs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(runs: np.ndarray, n: np.ndarray, every: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(runs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(runs[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["run", "n"])
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(runs[part].view(np.int64)), pa.array(n[part]), pa.array(every[part])], ["run", "n", "every"])
 
         for b in batches:
-            for _, part in pieces([(t or b"").lower() for t in text_bytes(b, "t")], 4_000_000):
-                runs, n = np.unique(runs_of(part)[0], return_counts=True)
-                held.append((runs, n))
-                if sum(len(x[0]) for x in held) > 3_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 2_000_000:
-                        yield from rows(*held.pop())
+            texts, out = [(t or b"").lower() for t in text_bytes(b, "t")], b.column("held_out").to_pylist()
+            for held_out in (False, True):
+                for _, part in pieces([t for t, o in zip(texts, out, strict=True) if o == held_out], 4_000_000):
+                    runs, every = np.unique(runs_of(part)[0], return_counts=True)
+                    held.append((runs, every * (not held_out), every))
+                    if sum(len(x[0]) for x in held) > 3_000_000:
+                        held[:] = [merged()]
+                        if len(held[0][0]) > 2_000_000:
+                            yield from rows(*held.pop())
         if held:
             yield from rows(*merged())
 
-    return docs.select("t").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    counted = docs.select("t", "held_out").mapInArrow(count, "run long, n long, every long")
+    return counted.groupBy("run").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def levels_of(runs: np.ndarray, n: np.ndarray, orders: range) -> tuple[list, list]:
+    """Sorted runs of j + 1 bytes and counts, and sorted contexts of j bytes and how often they occur, for each j, from longer runs and counts."""
+
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+
+    levels, contexts = [], []
+    for j in orders:
+        levels.append(summed(runs & np.uint64((1 << 8 * (j + 1)) - 1), n))
+        contexts.append(summed(levels[-1][0] >> np.uint64(8), levels[-1][1]))
+    return levels, contexts
 
 
 class Trie:
-    """The bounded model. levels[j]: sorted runs of j + 1 bytes and their counts; contexts[j]: sorted contexts of j bytes, and how often they occur."""
+    """A model, or the part of it that some contexts need. levels[j]: sorted runs of j + 1 bytes and their counts; contexts[j]: sorted contexts of j bytes, and how often they occur."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.runs = [r for r, _ in levels]
@@ -132,52 +157,9 @@ class Trie:
                 self.escape_without.append(np.maximum(self.escape[j - 1][short] - DISCOUNT * held, 0))
             below.append(held)
         self.rest = max(1, SYMBOLS - (int(below[0][0]) if len(below[0]) else 0))
-        self.slots()
-
-    def slots(self) -> None:
-        """An open-addressed table of the longest runs and what they cost."""
-        runs = self.runs[ORDER]
-        bits = max(4, int(2 * len(runs)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
-        self.costs = np.zeros(1 << bits)
-        at, left = self.slot(runs), np.arange(len(runs))
-        costs = self.backed_off(runs)
-        while len(left):
-            free = self.keys[at] == np.iinfo(np.uint64).max
-            self.keys[at[free]] = runs[left[free]]
-            won = self.keys[at] == runs[left]
-            self.costs[at[won]] = costs[left[won]]
-            at, left = (at[~won] + 1) & (len(self.keys) - 1), left[~won]
-
-    def slot(self, runs: np.ndarray) -> np.ndarray:
-        return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def log10(self, runs: np.ndarray) -> np.ndarray:
         """log10 of each run's last byte after the bytes before it."""
-        at = self.slot(runs)
-        keys = self.keys[at]
-        out = self.costs[at]
-        todo = np.flatnonzero(keys != runs)
-        own, at = runs[todo], at[todo]
-        lost = keys[todo] == np.iinfo(np.uint64).max
-        missing = [todo[lost]]
-        while not lost.all():
-            todo, own, at = todo[~lost], own[~lost], (at[~lost] + 1) & (len(self.keys) - 1)
-            keys = self.keys[at]
-            hit = keys == own
-            out[todo[hit]] = self.costs[at[hit]]
-            todo, own, at, keys = todo[~hit], own[~hit], at[~hit], keys[~hit]
-            lost = keys == np.iinfo(np.uint64).max
-            missing.append(todo[lost])
-        todo = np.concatenate(missing)
-        if len(todo):
-            different, back = np.unique(runs[todo], return_inverse=True)
-            out[todo] = self.backed_off(different)[back]
-        return out
-
-    def backed_off(self, runs: np.ndarray) -> np.ndarray:
-        """The same, through the levels of the trie."""
         out, todo = np.zeros(len(runs)), np.arange(len(runs))
         higher = np.full(len(runs), -1, np.int64)  # number of the context that escaped last, one level up
         for j in range(ORDER, -1, -1):
@@ -205,44 +187,103 @@ class Trie:
         return out
 
 
-def sorted_columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Two columns of longs on the driver, by the first one taken as unsigned."""
-    a, b = (c.to_numpy() for c in df.toArrow().columns)
-    order = np.argsort(a.view(np.uint64))
-    return a[order].view(np.uint64), b[order]
+class Costs:
+    """An open-addressed table of runs and their costs."""
+
+    def __init__(self, runs: np.ndarray, costs: np.ndarray) -> None:
+        bits = max(4, int(2 * len(runs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, FREE, np.uint64)
+        self.costs = np.full(1 << bits, np.nan)
+        at, left = self.slot(runs), np.arange(len(runs))
+        while len(left):
+            free = self.keys[at] == FREE
+            self.keys[at[free]] = runs[left[free]]
+            won = self.keys[at] == runs[left]
+            self.costs[at[won]] = costs[left[won]]
+            at, left = (at[~won] + 1) & (len(self.keys) - 1), left[~won]
+
+    def slot(self, runs: np.ndarray) -> np.ndarray:
+        return ((runs * MIX) >> self.shift).astype(np.int64)
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """The cost of each run; NaN of one that the table lacks."""
+        at = self.slot(runs)
+        out = self.costs[at]
+        todo = np.flatnonzero(self.keys[at] != runs)
+        at = at[todo]
+        while len(todo):
+            lost = self.keys[at] == FREE
+            out[todo[lost]] = np.nan
+            todo, at = todo[~lost], (at[~lost] + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == runs[todo]
+            out[todo[hit]] = self.costs[at[hit]]
+            todo, at = todo[~hit], at[~hit]
+        return out
+
+
+def run_costs(counted: DataFrame) -> DataFrame:
+    """(run, every, cost) of each run that any text has, by the whole model.
+
+    A part holds all contexts that end in the same two bytes, so it has
+    whatever its runs back off to, but for contexts of one byte and none: those
+    are at most 256 * 257 runs, which all parts get.
+    """
+    spark = counted.sparkSession
+    parts = 12 + counted.count() // PART
+    short = counted.where("n > 0").groupBy(F.col("run").bitwiseAND(F.lit(0xFFFF)).alias("run")).agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast(levels_of(*(c.to_numpy() for c in short.cast(RUN_COUNT).columns), range(2)))
 
+    def cost(rows: pa.Table) -> pa.Table:
+        runs, n = rows.column("run").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        known = levels_of(runs[n > 0], n[n > 0], range(2, ORDER + 1))
+        trie = Trie(*(a + b for a, b in zip(short.value, known, strict=True)))
+        return pa.table({"run": rows.column("run"), "every": rows.column("every"), "cost": trie.log10(runs)})
 
-def train(docs: DataFrame, runs: int = RUNS) -> tuple:
-    """What a Trie is made of, from the texts t of docs."""
-    counted = materialise(count_runs(docs))
-    mask = lambda j: F.lit((1 << 8 * (j + 1)) - 1)
-    steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("n").alias("least")).collect()  # a few hundred rows
-    least, held = None, 0
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts))
+    return counted.withColumn("part", part).groupBy("part").applyInArrow(cost, "run long, every long, cost double")
+
+
+def frequent(costs: DataFrame, runs: int) -> int:
+    """The least number of occurrences that at most so many runs have."""
+    steps = costs.groupBy(F.floor(F.log2("every") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("every").alias("least")).collect()  # a few hundred rows
+    least, held = 1 << 62, 0
     for s in sorted(steps, key=lambda s: -s["step"]):
         if held + s["n"] > runs:
             break
         held, least = held + s["n"], s["least"]
-    least = least or 1 << 62
-    levels, contexts = [], []
-    for j in range(ORDER + 1):
-        grams = counted if j == ORDER else counted.groupBy(F.col("run").bitwiseAND(mask(j)).alias("run")).agg(F.sum("n").alias("n"))
-        context = F.shiftrightunsigned("run", 8)
-        level = grams.where(F.col("n") >= least).select("run", "n")  # at most `runs` rows: each has a longer run, or several, of no higher count
-        of = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least).select("context", "total")
-        levels.append(sorted_columns(level))
-        contexts.append(sorted_columns(of))
-    return levels, contexts
+    return least
+
+
+_costs: dict[str, Costs] = {}
 
 
-_tries: dict[str, Trie] = {}
+def costs_of(name: str, shared) -> Costs:
+    """The broadcast costs of that name, made ready once in each worker."""
+    if name not in _costs:
+        _costs.clear()
+        _costs[name] = Costs(*shared.value)
+    return _costs[name]
 
 
-def trie_of(name: str, shared) -> Trie:
-    """The broadcast model of that name, made ready once in each worker."""
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = Trie(*shared.value)
-    return _tries[name]
+def run_shards(runs: np.ndarray, shards: int) -> np.ndarray:
+    return (((runs * MIX) >> np.uint64(24)) % np.uint64(shards)).astype(np.int32)
+
+
+def cost_messages(cold: DataFrame, shards: int) -> DataFrame:
+    """The costs of runs, packed by the shard that is asked for them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs, costs = b.column("run").to_numpy().view(np.uint64), b.column("cost").to_numpy()
+            order = np.argsort(runs)
+            runs, costs = runs[order], costs[order]
+            shard = run_shards(runs, shards)
+            for s in np.unique(shard):
+                own = shard == s
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([deflate(x)], pa.binary()) for x in (np.diff(runs[own], prepend=np.uint64(0)), costs[own]))], ["shard", "runs", "costs"])
+
+    return cold.select("run", "cost").mapInArrow(pack, "shard int, runs binary, costs binary")
 
 
 def shard_of(word: bytes, shards: int) -> int:
@@ -302,45 +343,58 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     docs = docs.withColumn("held_out", crc_mod(F.col("id"), folds) == 0)
     spark, size = docs.sparkSession, text_bytes_total(docs, "t")
-    learned = docs.where("not held_out")
-    model, name = spark.sparkContext.broadcast(train(learned, runs)), uuid4().hex
+    costs = materialise(run_costs(materialise(count_runs(docs))))
+    often = frequent(costs, runs)
+    top = costs.where(F.col("every") >= often).select("run", "cost").toArrow()  # at most `runs` rows
+    model, name = spark.sparkContext.broadcast((top.column("run").to_numpy().view(np.uint64), top.column("cost").to_numpy())), uuid4().hex
     shards, least = 12 + size // SHARD, max(LEAST_HOT, size // 2 // hot + 1)
     words, distinct, common = word_counts(docs, shards, least)
-    ends = learned.count()
+    ends = docs.where("not held_out").count()
     total, vocabulary = words + ends, distinct + bool(ends)
     hot_words = spark.sparkContext.broadcast(common)  # at most `hot` words: each occurs `least` times at least
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(name, model)
+        known_costs = costs_of(name, model)
         gain = {w: (log10(n + SMOOTH), n > 0) for w, n in hot_words.value.items()}
         task, message = TaskContext.get().partitionId(), 0
         number: dict[bytes, int] = {}
-        seen, of, doc, times, about = Counter(), [], [], [], []
+        seen, of, doc, times, about, rare = Counter(), [], [], [], [], []
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal message
             own = list(number)
             shard = np.array([shard_of(w, shards) for w in own], np.int64)
             w, d, n = np.array(of, np.int64), np.array(doc, np.uint32), np.array(times, np.uint32)
+            run, run_doc = (np.concatenate([np.zeros(0, k), *(r[i] for r in rare)]) for i, k in ((0, np.uint64), (1, np.uint32)))
+            run, run_of = np.unique(run, return_inverse=True)
+            run_shard = run_shards(run, shards)
             place = np.zeros(len(own), np.int64)
+            run_place = np.zeros(len(run), np.int64)
             for s in range(shards):
                 mine = np.flatnonzero(shard == s)
                 place[mine] = np.arange(len(mine))
                 chosen = np.flatnonzero(shard[w] == s) if len(w) else w
                 info = [pa.array([about if s == message % shards else []], ABOUT)]
-                if len(mine) or s == message % shards:
+                asked = np.flatnonzero(run_shard == s)
+                run_place[asked] = np.arange(len(asked))
+                at = np.flatnonzero(run_shard[run_of] == s) if len(run) else asked
+                if len(mine) or len(asked) or s == message % shards:
                     names = [own[i] for i in mine]
-                    packed = (packed_words(names), deflate(np.array([seen[x] for x in names], np.uint32)), deflate(place[w[chosen]].astype(np.uint32)), deflate(d[chosen]), deflate(n[chosen]))
+                    packed = (packed_words(names), deflate(np.array([seen[x] for x in names], np.uint32)), deflate(place[w[chosen]].astype(np.uint32)), deflate(d[chosen]), deflate(n[chosen]), deflate(np.diff(run[asked], prepend=np.uint64(0))), deflate(run_place[run_of[at]].astype(np.uint32)), deflate(run_doc[at]))
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([task << 24 | message]), *(pa.array([x], pa.binary()) for x in packed), *info], ["shard", "message", *PACKED, "about"])
             message += 1
-            for x in (number, seen, of, doc, times, about):
+            for x in (number, seen, of, doc, times, about, rare):
                 x.clear()
 
         for b in batches:
             ids, out = b.column("id").to_pylist(), b.column("held_out").to_pylist()
             for at, texts in pieces([(t or b"").lower() for t in text_bytes(b, "t")]):
                 runs, starts = runs_of(texts)
-                scores = np.add.reduceat(trie.log10(runs), starts)
+                cost = known_costs.of(runs)
+                cold = np.flatnonzero(np.isnan(cost))
+                cost[cold] = 0
+                scores = np.add.reduceat(cost, starts)
+                rare.append((runs[cold], (len(about) + np.searchsorted(starts, cold, "right") - 1).astype(np.uint32)))
                 for i, t in enumerate(texts):
                     words = t.split()
                     gained, known = 0.0, 0
@@ -355,15 +409,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             if not out[at + i]:
                                 seen[w] += n
                     about.append({"doc": len(about), "id": ids[at + i], "held_out": out[at + i], "tokens": len(words) + 1, "known": known, "gain": gained, "score": float(scores[i])})
-                if len(number) > HELD or len(about) > 50_000 or len(of) > 4_000_000:
+                if len(number) > HELD or len(about) > 50_000 or len(of) > 4_000_000 or sum(len(r[0]) for r in rare) > 2_000_000:
                     yield from send()
         yield from send()
 
-    PACKED = ["words", "seen", "of", "doc", "times"]
+    PACKED = ["words", "seen", "of", "doc", "times", "runs", "run_of", "run_doc"]
     ABOUT = pa.list_(pa.struct([("doc", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.int64()), ("known", pa.int64()), ("gain", pa.float64()), ("score", pa.float64())]))
 
     def answer(messages: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
+        own_costs = messages.filter(pa.compute.is_valid(messages.column("costs")))
+        messages = messages.filter(pa.compute.is_null(messages.column("costs")))
+        known_runs, run_cost = (np.concatenate([np.zeros(0, k), *x]) for k, x in ((np.uint64, [np.cumsum(inflate(x, np.uint64)) for x in own_costs.column("runs").to_pylist()]), (np.float64, [inflate(x, np.float64) for x in own_costs.column("costs").to_pylist()])))
+        order = np.argsort(known_runs)
+        known_runs, run_cost = known_runs[order], run_cost[order]
         rows = list(zip(*(messages.column(c).to_pylist() for c in ("message", *PACKED)), strict=True))
         places, counts = [], []
         for _, words, seen, *_ in rows:
@@ -373,8 +432,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n = np.zeros(len(number))
         for p, c in zip(places, counts, strict=True):
             n[p] += c
-        gain, out = np.log10(n + SMOOTH), [[], [], [], []]
-        for (message, _, _, of, doc, times), p in zip(rows, places, strict=True):
+        gain, out, scored = np.log10(n + SMOOTH), [[], [], [], []], [[], [], []]
+        for (message, _, _, of, doc, times, runs, run_of, run_doc), p in zip(rows, places, strict=True):
+            run_doc = inflate(run_doc, np.uint32)
+            if len(run_doc):
+                own, back = np.unique(run_doc, return_inverse=True)
+                cost = run_cost[np.searchsorted(known_runs, np.cumsum(inflate(runs, np.uint64)))]
+                for o, x in zip(scored, (np.full(len(own), message), own.astype(np.int64), np.bincount(back, cost[inflate(run_of, np.uint32)])), strict=True):
+                    o.append(x)
             doc, times = inflate(doc, np.uint32), inflate(times, np.uint32).astype(np.float64)
             if len(doc):
                 w = p[inflate(of, np.uint32)]
@@ -388,11 +453,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = {c: (np.concatenate(o) if o else np.zeros(0, k)) for c, o, k in zip(("message", "doc", "gain", "known"), out, (np.int64, np.int64, np.float64, np.int64), strict=True)}
         first = pa.table({"message": of_message, **{f: told.field(f) for f in ("doc", "id", "held_out", "tokens", "known", "gain", "score")}})
         rest = pa.table({"message": part["message"], "doc": part["doc"], **{f: pa.nulls(len(part["doc"]), t) for f, t in (("id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.int64()))}, "known": part["known"], "gain": part["gain"], "score": pa.nulls(len(part["doc"]), pa.float64())})
-        return pa.concat_tables([first, rest])
+        message, doc, score = (np.concatenate([np.zeros(0, k), *o]) for o, k in zip(scored, (np.int64, np.int64, np.float64), strict=True))
+        rare = pa.table({c: {"message": message, "doc": doc, "score": score}.get(c, pa.nulls(len(doc), t)) for c, t in zip(first.column_names, first.schema.types, strict=True)})
+        return pa.concat_tables([first, rest, rare])
 
-    asked = docs.mapInArrow(ask, "shard int, message long, words binary, seen binary, of binary, doc binary, times binary, about array<struct<doc:long,id:long,held_out:boolean,tokens:long,known:long,gain:double,score:double>>")
+    asked = docs.mapInArrow(ask, "shard int, message long, words binary, seen binary, of binary, doc binary, times binary, runs binary, run_of binary, run_doc binary, about array<struct<doc:long,id:long,held_out:boolean,tokens:long,known:long,gain:double,score:double>>")
+    asked = asked.unionByName(cost_messages(costs.where(F.col("every") < often), shards), allowMissingColumns=True)
     parts = asked.groupBy("shard").applyInArrow(answer, "message long, doc long, id long, held_out boolean, tokens long, known long, gain double, score double")
-    got = parts.groupBy("message", "doc").agg(F.max("id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("gain").alias("gain"), F.max("score").alias("score"))
+    got = parts.groupBy("message", "doc").agg(F.max("id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("gain").alias("gain"), F.sum("score").alias("score"))
     base = F.col("gain") + log10(ends + SMOOTH) - F.col("n_tokens") * log10(total + SMOOTH * (vocabulary + 1))
     return got.select("doc_id", "held_out", "n_tokens", (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

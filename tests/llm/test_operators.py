@@ -111,12 +111,38 @@ def test_lm(spark, docs, none):
     got = lm.score_documents(docs, hot=4).withColumn("base", F.round("base_score", 6))
     assert by_id(got, "held_out", "n_tokens", "n_known", "train_tokens", "base") == want(brute)
     assert got.where("score >= 0").count() == 0 and lm.score_documents(none).count() == 0
-    for runs in (1 << 20, 200):
-        trie = lm.Trie(*lm.train(docs.select(F.col("text").alias("t")), runs))
-        some, _ = lm.runs_of([(r[1] or "").encode().lower() for r in rows[:20]])
-        for run in [*some[::97].tolist(), 0x414243444546]:
-            every = (np.uint64(run) & ~np.uint64(255)) | np.array([x for x in range(256) if x != lm.START], np.uint64)
-            assert abs((10 ** trie.log10(every)).sum() - 1) < 1e-9
+    # Prediction by partial matching, from all counts; the size of the broadcast cache changes nothing.
+    lower = lambda r: (r[1] or "").encode().lower()
+    marked = lambda r: bytes([lm.START]) * lm.ORDER + lower(r) + bytes([lm.STOP])
+    after: dict[bytes, Counter] = {}
+    for r in learned:
+        m = marked(r)
+        for i in range(lm.ORDER, len(m)):
+            for j in range(lm.ORDER + 1):
+                after.setdefault(m[i - j : i], Counter())[m[i]] += 1
+
+    def chance(context: bytes, x: int) -> float:
+        p, gone = 1.0, set()
+        for j in range(len(context) + 1):
+            if not (known := after.get(context[j:])):
+                continue
+            left = {y: n - lm.DISCOUNT for y, n in known.items() if y not in gone}
+            whole = sum(left.values()) + lm.DISCOUNT * len(left)
+            if x in left:
+                return p * left[x] / whole
+            p *= lm.DISCOUNT * len(left) / whole if left else 1
+            gone |= set(known)
+        return p / max(1, lm.SYMBOLS - len(gone))
+
+    def ppm(r):
+        m = marked(r)
+        return (round(sum(log10(chance(m[i - lm.ORDER : i], m[i])) for i in range(lm.ORDER, len(m))), 6),)
+
+    for runs in (1 << 20, 100, 0):
+        got = lm.score_documents(docs, runs=runs).withColumn("s", F.round("score", 6))
+        assert by_id(got, "s") == want(ppm)
+    for context in (b"", b"the", b"s an ", b"zzzzz"):
+        assert abs(sum(chance(context, x) for x in range(256) if x != lm.START) - 1) < 1e-9
 
 
 def test_bpe(docs, none):
