@@ -14,7 +14,8 @@ anchors leaves such lines out and loses none.
 Defined cases: null and empty texts state nothing; a null path has no directory
 and inherits nothing; among equally like templates the one that sorts first, and
 among equally like lines the first, is reported; a directory with several
-licence files has the most like, then the first by path. Repeated rows stay.
+licence files has the most like, then the first by path. Repeated rows and null
+ids stay.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._common import table
+from ._common import materialise, table
 
 LEAST = 0.75
 #: Notices by which works state a licence.
@@ -67,19 +67,43 @@ def fitted(templates: dict[str, str], least: float) -> tuple[dict[str, dict[str,
     return units, idf, log(1 + len(terms)) + 1, sorted(anchors)
 
 
-def likeness(units: DataFrame, key: list[str], templates: dict[str, str], least: float) -> DataFrame:
-    """(key..., license, score): the template most like each unit's words, if at least so much; units has the key and array words."""
-    spark = units.sparkSession
-    vectors, idf, other, _ = fitted(templates, least)
-    postings = spark.createDataFrame([(w, float(idf[w]), [(k, float(v[w])) for k, v in sorted(vectors.items()) if w in v]) for w in sorted(idf)], "word string, idf double, at array<struct<license:string,weight:double>>")
-    words = units.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
-    words = words.join(F.broadcast(postings), "word", "left")  # the templates' words
-    weight = F.col("tf") * F.coalesce("idf", F.lit(other))
-    # In one aggregate: the squared length of the unit, and its products with each template.
-    sums = words.groupBy(*key).agg(F.sum(weight * weight).alias("square"), *(F.sum(F.coalesce(weight * F.get(F.filter("at", lambda x: x.license == k), F.lit(0)).weight, F.lit(0.0))).alias(f"p{i}") for i, k in enumerate(sorted(vectors))))
-    scores = F.array(*(F.struct((F.round(F.col(f"p{i}") / F.sqrt("square"), 9)).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("license")) for i, k in enumerate(sorted(vectors))))
-    best = sums.select(*key, F.array_max(scores).alias("best"))
-    return best.select(*key, "best.license", "best.score").where(F.col("score") >= least)
+def most_like(words: Column, templates: dict[str, str]) -> Column:
+    """(score, first, license) of the template most like an array of words, in one row: nothing is exploded or shuffled.
+
+    Sorted, equal words lie together, so one pass sums the squares of their
+    counts; template words are counted apart. transform(array(x), f)[0] names x.
+    """
+    vectors, idf, other, _ = fitted(templates, LEAST)
+    names = sorted(vectors)
+    vocab = F.lit(sorted(idf))
+    weights = F.expr("map(" + ", ".join(f"'{w}', array({', '.join(repr(idf[w] * vectors[k].get(w, 0.0)) + 'D' for k in names)})" for w in sorted(idf)) + ")")
+    more = F.expr("map(" + ", ".join(f"'{w}', {idf[w] ** 2 - other**2!r}D" for w in sorted(idf)) + ")")
+
+    def let(x: Column, f) -> Column:
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def squares(ordered: Column) -> Column:
+        start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
+
+        def step(s: Column, w: Column) -> Column:
+            n = F.when(s.word == w, s.n + 1).otherwise(F.lit(1).cast("long"))
+            return F.struct(w.alias("word"), n.alias("n"), (s.sum + 2 * n - 1).alias("sum"))  # the first n odd numbers sum to n squared
+
+        return F.aggregate(ordered, start, step, lambda s: s.sum)
+
+    def counts(own: Column) -> Column:
+        return F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("word"), (F.size(own) - F.size(F.array_remove(own, w))).cast("double").alias("tf")))
+
+    def scored(c: Column) -> Column:
+        square = F.aggregate(c.own, c.squares * F.lit(other**2), lambda s, x: s + x.tf * x.tf * F.element_at(more, x.word))
+        products = F.aggregate(c.own, F.array(*(F.lit(0.0) for _ in names)), lambda s, x: F.zip_with(s, F.element_at(weights, x.word), lambda p, w: p + x.tf * w))
+        return F.struct(F.sqrt(square).alias("length"), products.alias("products"))
+
+    def best(c: Column) -> Column:
+        return F.array_max(F.zip_with(c.products, F.array(*(F.struct(F.lit(-i).alias("first"), F.lit(k).alias("license")) for i, k in enumerate(names))), lambda p, k: F.struct(F.coalesce(F.round(p / F.nullif(c.length, F.lit(0.0)), 9), F.lit(0.0)).alias("score"), k.first.alias("first"), k.license.alias("license"))))
+
+    sums = let(F.sort_array(words), lambda s: F.struct(squares(s).alias("squares"), F.filter(s, lambda w: F.array_contains(vocab, w)).alias("own")))
+    return let(let(let(sums, lambda c: F.struct(c.squares.alias("squares"), counts(c.own).alias("own"))), scored), best)
 
 
 def directories(path: Column) -> Column:
@@ -93,22 +117,23 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     """(id, path, own_license, score, line, is_license_file, license, inherited_from).
 
     own_license is stated by the file; license is that, or the one inherited from
-    the directory inherited_from. Ids must be distinct.
+    the directory inherited_from. Ids need not be distinct.
     """
     templates = templates or TEMPLATES
     anchors = fitted(templates, least)[3]
     pattern = "(?i)\\b(?:" + "|".join(anchors) + ")\\b"
     files = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_TERM})"), 1)
-    may = files.where(F.col("text").rlike(pattern)).select("id", F.split("text", "\n").alias("lines"))
-    lines = may.select("id", F.posexplode("lines").alias("line", "text")).where(F.col("text").rlike(pattern))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "line")
-    # A file's lines are as many as its text has; those left here state a licence.
-    stated = likeness(lines.select("id", "line", terms(F.col("text")).alias("words")), ["id", "line"], templates, least)
-    stated = stated.withColumn("n", F.row_number().over(best)).where("n = 1").select("id", F.col("license").alias("own_license"), "score", "line")
-    whole = likeness(may.select("id", terms(F.concat_ws("\n", "lines")).alias("words")), ["id"], templates, least).select("id", F.col("license").alias("file_license"), F.col("score").alias("file_score"))
-    found = files.select("id", "path").join(stated, "id", "left").join(whole, "id", "left")
-    found = found.select("id", "path", F.coalesce("own_license", "file_license").alias("own_license"), F.coalesce("score", "file_score").alias("score"), "line", F.col("file_license").isNotNull().alias("is_license_file"), "file_score")
+    like = lambda c: most_like(terms(c), templates)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), i.alias("line"))), lambda x: x.text.rlike(pattern))
+    lines = F.transform(lines, lambda x: F.struct(like(x.text).alias("best"), x.line.alias("line")))
+    stated = F.array_max(F.transform(F.filter(lines, lambda x: x.best.score >= least), lambda x: F.struct(x.best.score.alias("score"), (-x.line).alias("before"), x.best.license.alias("license"))))
+    may = F.col("text").rlike(pattern)
+    found = files.select("id", "path", F.when(may, stated).alias("stated"), F.when(may, like(F.col("text"))).alias("whole"))
+    is_file = F.coalesce(F.col("whole.score") >= least, F.lit(False))
+    file_license, file_score = (F.when(is_file, F.col(f"whole.{c}")) for c in ("license", "score"))
+    found = found.select("id", "path", F.coalesce("stated.license", file_license).alias("own_license"), F.coalesce("stated.score", file_score).alias("score"), (-F.col("stated.before")).alias("line"), is_file.alias("is_license_file"), file_score.alias("file_score"))
+    found = materialise(found)  # without the texts; three steps read it
     holders = found.where("is_license_file").select(F.get(directories(F.col("path")), F.lit(0)).alias("dir"), F.struct((-F.col("file_score")).alias("s"), "path", F.col("own_license").alias("license")).alias("h")).where("dir is not null")
     holders = holders.groupBy("dir").agg(F.min("h").alias("h")).select("dir", "h.license")
     # The directories that files without a licence lie in are few beside the files; each asks its ancestors.
