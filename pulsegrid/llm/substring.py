@@ -106,7 +106,8 @@ def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
         def send() -> pa.RecordBatch:
             keys, blobs = [], []
             for row in range(2):
-                slots = np.sort(np.concatenate([(h[row] >> np.uint64(64 - bits)).astype(np.uint32) for h in held]))
+                slots = np.concatenate([h[row] for h in held])
+                slots.sort()
                 cuts = np.searchsorted(slots, (np.arange(ranges + 1, dtype=np.int64) << range_bits))
                 for r in range(ranges):
                     if cuts[r] < cuts[r + 1]:
@@ -117,7 +118,7 @@ def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
 
         for _, words in batches_of_docs(batches):
             _, _, a, b = window_hashes(words, size)
-            held.append(np.stack([a, b]))
+            held.append(np.stack([(h >> np.uint64(64 - bits)).astype(np.uint32) for h in (a, b)]))
             if sum(x.shape[1] for x in held) >= 4 * HELD:
                 yield send()
         if held:
@@ -153,11 +154,15 @@ def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
 def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFrame:
     """(doc, row, at): for each document whose windows start in an earlier one, the packed first words of those."""
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(repeated_counters(docs, bits, size))
+    twice = repeated_counters(docs, bits, size)
+    half = len(twice) // 2
+    # One piece for each sketch row, which workers read in place.
+    sketch = spark.sparkContext.broadcast((b"".join(twice[:half]), b"".join(twice[half:])))
+    del twice
     shards = 12 + windows // GROUP
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(b"".join(sketch.value[i : i + len(sketch.value) // 2]), np.uint8) for i in (0, len(sketch.value) // 2)]
+        rows = [np.frombuffer(x, np.uint8) for x in sketch.value]
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,7 @@ def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFr
                 may &= (have[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
             n, pos, a, b = n[may], pos[may], a[may], b[may]
             doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
-            held.append((doc[n], row[n], pos, a, b))
+            held.append((doc[n], row[n], pos.astype(np.int32), a, b))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield from send()
         if held:
