@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import connected_components, materialise, table, text_bytes, words_of
 
@@ -180,14 +181,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = distinct.select("id", F.explode(variants).alias("variant"))
 
     def linked(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-        """Links of each member of a bucket to its smallest and to its neighbour in order; the smallest of each bucket."""
-        met = rows.groupBy(*key).agg(F.sort_array(F.collect_set("id")).alias("met"))
-        many = met.where(F.size("met") > 1)
-        pairs = F.concat(
-            F.expr("transform(slice(met, 2, size(met) - 1), x -> struct(met[0] AS a, x AS b))"),
-            F.expr("transform(slice(met, 3, size(met) - 2), (x, i) -> struct(met[i + 1] AS a, x AS b))"),
-        )
-        return many.select(F.inline(pairs)), met.select("variant", F.col("met")[0].alias("id"))
+        """Links of each member of a bucket to its smallest and to its neighbour in order; the smallest of each bucket.
+
+        A sort and a running window: no bucket is gathered into an array, and what is sorted can spill.
+        """
+        order = Window.partitionBy(*key).orderBy("id")
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = rows.select("variant", "id", F.first("id").over(so_far).alias("low"), F.lag("id").over(order).alias("before"))
+        later = met.where("before is not null")
+        return later.select(F.explode(F.array_distinct(F.array("low", "before"))).alias("a"), F.col("id").alias("b")).where("a != b"), met.where("before is null").select("variant", "id")
 
     if salts == 1:
         links, _ = linked(out, "variant")
