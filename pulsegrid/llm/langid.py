@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, table
+from ._common import crc_mod, map_batches, table
 
 CELLS_BITS, GRAM, SMOOTH = 16, 4, 0.5
 #: Overlapping n-grams repeat each other, so a word's log-likelihood counts by this share.
@@ -82,7 +82,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     yield from rows()
         yield from rows()
 
-    counted = docs.select("t", "lang").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # cells x languages at most
+    counted = map_batches(docs.select("t", "lang"), count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # cells x languages at most
     langs = sorted(set(counted["lang"]))
     n = np.zeros((1 << CELLS_BITS, len(langs)))
     n[counted["cell"].to_numpy(np.int64), counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] = counted["n"]
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str =
 
     taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(f"c{j}") for j, c in enumerate(carry)))
     schema = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>" + "".join(f", c{j} {taken.schema[f'c{j}'].dataType.simpleString()}" for j in range(len(carry)))
-    return taken.mapInArrow(run, schema).withColumnsRenamed({f"c{j}": c for j, c in enumerate(carry)})
+    return map_batches(taken, run, schema).withColumnsRenamed({f"c{j}": c for j, c in enumerate(carry)})
 
 
 def train_fold(docs: DataFrame, folds: int = 4, out: int = 2) -> tuple[list[str], np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import connected_components, materialise, table, text_bytes, words_of
+from ._common import connected_components, map_batches, materialise, table, text_bytes, words_of
 
 SEED = 42
 #: Share of differing bits at the threshold, as measured; pairs at up to SURE are alike, at over DOUBT they are not, between them their shingle sets decide.
@@ -81,7 +81,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out[i] = np.packbits(majority(h.reshape(-1, 1)), bitorder="little").view(np.uint64)[0]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "doc_id long, fp long")
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -135,7 +135,7 @@ def block_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int,
                     rows.append(majority(mixed)[: bits * blocks].reshape(blocks, bits) @ value)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "w"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, w array<long>")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "doc_id long, w array<long>")
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -146,7 +146,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             sets = [np.unique(shingle_hashes(words_of(t and t.lower()), shingle).astype(np.uint32)).tobytes() for t in text_bytes(b, "t")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, set binary")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "id long, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -162,7 +162,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return got.mapInArrow(run, "a long, b long")
+    return map_batches(got, run, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:

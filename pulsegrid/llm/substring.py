@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import deflate, inflate, table, text_bytes, text_bytes_total, words_of
+from ._common import deflate, inflate, map_batches, table, text_bytes, text_bytes_total, words_of
 
 SIZE = 13
 #: Most bits of a sketch row; two rows of 2**28 counters are 64 MB when cut to a bit each.
@@ -144,7 +144,7 @@ def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
         if part is not None:
             yield bit()
 
-    sketches = docs.select("t").mapInArrow(count, "part int, sketch binary")
+    sketches = map_batches(docs.select("t"), count, "part int, sketch binary")
     summed = sketches.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
     empty = bytes((1 << range_bits) // 8)
     got = {r.part: bytes(r.bits) for r in summed.collect()}  # at most 2 * 2**bits bits
@@ -216,7 +216,7 @@ def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFr
         at = [pack_sorted(np.unique(x)) for x in np.split(pos, starts[1:])] if len(doc) else []
         return pa.table({"doc": doc[starts], "row": row[starts], "at": pa.array(at, pa.binary())})
 
-    asked = docs.select("doc", "row", "t").mapInArrow(ask, "shard int, " + ", ".join(f"{f} binary" for f in FIELDS))
+    asked = map_batches(docs.select("doc", "row", "t"), ask, "shard int, " + ", ".join(f"{f} binary" for f in FIELDS))
     return asked.groupBy("shard").applyInArrow(answer, "doc long, row long, at binary")
 
 
@@ -252,7 +252,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), *(b.column(n) for n in names)], ["doc_id", "text", "n_words", "n_removed", *names])
 
     schema = "doc_id long, text string, n_words long, n_removed long" + "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    out = docs.join(cuts, ["doc", "row"], "left").select("id", "t", "at", *names).mapInArrow(cut, schema)
+    out = map_batches(docs.join(cuts, ["doc", "row"], "left").select("id", "t", "at", *names), cut, schema)
     return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
