@@ -1,16 +1,24 @@
-"""Embedding near-duplicates through a pivot-permutation index.
+"""Embedding near-duplicates through pivots, with exact bounds.
 
-A bounded sample of vectors serves as reference points (pivots). A vector is
-described by its ``near`` nearest pivots in order; inverted lists, one for each
-label and pivot, hold the vectors that have the pivot among these. Two vectors
-are candidates if they share ``shared`` pivots or more, and are verified by
-cosine in double precision. A pair is judged in the list of the first pivot that
-it shares, so it is counted once.
+A bounded sample of vectors serves as reference points (pivots); of pivots that
+would link with each other one is kept, so a dense group has few of them. A
+vector lies in the cell of its nearest pivot. Cells of a label are packed into
+blocks, large ones cut into several, and every two blocks make a group. A vector
+goes to all groups of its block but those where no cell can hold a link of it:
 
-Equal vectors of a label are indexed once and weigh as many as they are. Long
-lists are cut into blocks; every two blocks of a list make a group, so no group
-exceeds two blocks and no candidate is missed. Groups send back link counts and
-a star of links for each component in them, never pairs.
+* z -> z.(q - p) / |q - p| is at most 0 in the cell of p and grows no faster than
+  distance, so a vector of the cell of q that has more than the link distance
+  there has no link in the cell of p;
+* z -> z.p grows no faster than distance either, so a vector outside the range
+  of the cell's members by more than the link distance has no link in it.
+
+No pair within the link distance is left out, so links are exact. Where vectors
+are spread evenly over many dimensions the bounds exclude little, and all pairs
+of a label are compared.
+
+Equal vectors of a label are indexed once and weigh as many as they are. No
+group exceeds two blocks. Groups send back link counts and a star of links for
+each component in them, never pairs.
 
 Defined cases: vectors that are null, empty or zero, or that hold null or
 non-finite components, and those with a null label, link with nothing and are
@@ -28,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialise, table
+from ._common import connected_components, map_batches, materialise, table
 
 COSINE = 0.93
 #: Pivots: a sample of this many distinct vectors for each 128, within bounds.
 LEAST_PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 128, 2048, 128
-NEAR, SHARED, BLOCK = 8, 2, 2000
+BLOCK = 2000
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -43,14 +51,18 @@ def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(sound & F.col(label_col).isNotNull(), F.lit(False)).alias("ok"))
 
 
-def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
-    """The vectors of the lowest seeded hashes, scaled to length one."""
+def pivots_of(rows: DataFrame, count: int, cosine: float) -> np.ndarray:
+    """The vectors of the lowest seeded hashes, scaled to length one; without those that would link with one before."""
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return np.zeros((0, 1))
     got = rows.where(F.size("v") == size["n"]).orderBy(F.xxhash64(F.lit(5), "v"), "v").select("v").limit(count).collect()
-    p = np.array([r["v"] for r in got])
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+    p = scaled(np.array([r["v"] for r in got]))
+    like, kept = p @ p.T, []
+    for i in range(len(p)):
+        if not kept or like[i, kept].max() < cosine:
+            kept.append(i)
+    return p[kept]
 
 
 def scaled(v: np.ndarray) -> np.ndarray:
@@ -59,41 +71,97 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, near: int = NEAR, shared: int = SHARED, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+def packed(cells: list[tuple], block: int) -> dict[str, tuple[np.ndarray, ...]]:
+    """label -> pivots of its cells, lowest and highest cosine in each, its first block, its blocks. Cells are (label, pivot, held, low, high).
+
+    Dense cells come first, so that they lie apart from loose ones. Labels that fit in one block are left out.
+    """
+    of: dict[str, list[tuple]] = {}
+    for label, *cell in cells:
+        of.setdefault(label, []).append(cell)
+    out = {}
+    for label, own in of.items():
+        if sum(c[1] for c in own) <= block:
+            continue
+        at, room, rows = -1, 0, []
+        for pivot, held, low, high in sorted(own, key=lambda c: (-c[2], c[0])):
+            parts = -(-held // block)
+            if parts > 1 or held > room:
+                at, room = at + 1, block
+            rows.append((pivot, low, high, at, parts))
+            at, room = at + parts - 1, 0 if parts > 1 else room - held
+        out[label] = tuple(np.array(c) for c in zip(*rows, strict=True))
+    return out
+
+
+def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept)."""
     spark = vectors.sparkSession
     rows = unit_rows(vectors, id_col, vector_col, label_col)
     numbered = rows.where("ok").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     distinct = materialise(numbered.select(F.xxhash64("label", "v").alias("rep"), "label", "v", "copies", "low"))
     n = distinct.count()
-    points = spark.sparkContext.broadcast(pivots_of(distinct, pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, n // ROWS_PER_PIVOT))))
+    points = spark.sparkContext.broadcast(pivots_of(distinct, pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, n // ROWS_PER_PIVOT)), cosine))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
+
+    def likes(b: pa.RecordBatch) -> np.ndarray:
+        """Products of each vector, scaled, with each pivot."""
+        p = points.value
+        flat, at = b.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(b.column("v").value_lengths().to_numpy())])
+        sizes = np.diff(at)
+        like = np.zeros((b.num_rows, len(p)))
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            both = min(size, p.shape[1])
+            like[own] = scaled(np.stack([flat[at[i] : at[i + 1]] for i in own]))[:, :both] @ p[:, :both].T
+        return like
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            like = likes(b)
+            home = like.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "label", "v", "copies")), pa.array(home.astype(np.int32)), pa.array(like[np.arange(len(home)), home])], ["rep", "label", "v", "copies", "home", "like"])
+
+    described = materialise(map_batches(distinct.select("rep", "label", "v", "copies"), describe, "rep long, label string, v array<double>, copies long, home int, like double"))
+    cells = described.groupBy("label", "home").agg(F.count("*"), F.min("like"), F.max("like"))
+    large = described.groupBy("label").count().where(F.col("count") > block).select("label")
+    layout = spark.sparkContext.broadcast(packed([tuple(r) for r in cells.join(large, "label", "left_semi").collect()], block))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = points.value
-        k = min(near, len(p))
         for b in batches:
-            flat, at = b.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(b.column("v").value_lengths().to_numpy())])
-            sizes = np.diff(at)
-            nearest = np.zeros((b.num_rows, k), np.int32)
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
-                v, both = scaled(np.stack([flat[at[i] : at[i + 1]] for i in own])), min(size, p.shape[1])
-                like = v[:, :both] @ p[:, :both].T
-                part = np.argpartition(-like, k - 1, axis=1)[:, :k] if k < like.shape[1] else np.tile(np.arange(k), (len(own), 1))
-                nearest[own] = np.take_along_axis(part, np.argsort(-np.take_along_axis(like, part, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "label", "v", "copies")), pa.array(list(nearest), pa.list_(pa.int32()))], ["rep", "label", "v", "copies", "near"])
-
-    described = materialise(distinct.select("rep", "label", "v", "copies").mapInArrow(describe, "rep long, label string, v array<double>, copies long, near array<int>"))
-    lists = described.select("label", F.explode("near").alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("held")).where("held > 1")
-    lists = lists.withColumn("blocks", F.expr(f"cast((held + {block - 1}) div {block} as int)"))
-    posted = described.withColumn("pivot", F.explode("near")).join(lists.select("label", "pivot", "blocks"), ["label", "pivot"])
-    posted = posted.withColumn("own", F.pmod(F.xxhash64("rep", "pivot"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    posted = posted.select("label", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "v", "copies", "near")
+            like, home, rep = likes(b), b.column("home").to_numpy(), b.column("rep").to_numpy()
+            names = np.array(b.column("label").to_pylist(), object)
+            apart = np.sqrt(np.maximum(0, 2 - 2 * p[home] @ p.T))
+            may = like[np.arange(len(home)), home][:, None] - like <= reach * apart + 1e-9
+            at, own, other = [], [], []
+            for label in set(names):
+                rows = np.flatnonzero(names == label)
+                if label not in layout.value:
+                    at.append(rows), own.append(np.zeros(len(rows), np.int64)), other.append(np.zeros(len(rows), np.int64))
+                    continue
+                pivot, low, high, first, parts = layout.value[label]
+                near = like[np.ix_(rows, pivot)]
+                open_ = may[np.ix_(rows, pivot)] & (near >= low - reach) & (near <= high + reach)
+                cell = np.argsort(pivot)[np.searchsorted(np.sort(pivot), home[rows])]
+                mine = first[cell] + (rep[rows] >> 7) % parts[cell]
+                held = np.zeros((len(rows), int((first + parts).max())), bool)
+                for c in range(len(pivot)):
+                    held[:, first[c] : first[c] + parts[c]] |= open_[:, c : c + 1]
+                held[np.arange(len(rows)), mine] = True
+                r, o = np.nonzero(held)
+                at.append(rows[r]), own.append(mine[r]), other.append(o)
+            at, own, other = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, own, other))
+            for s in range(0, len(at), 5000):
+                part, x, y = at[s : s + 5000], own[s : s + 5000], other[s : s + 5000]
+                taken = b.select(["label", "rep", "v", "copies"]).take(pa.array(part))
+                yield pa.RecordBatch.from_arrays([taken.column("label"), *(pa.array(c.astype(np.int32)) for c in (np.minimum(x, y), np.maximum(x, y), x)), *(taken.column(c) for c in ("rep", "v", "copies"))], ["label", "i", "j", "own", "rep", "v", "copies"])
+
+    posted = map_batches(described.drop("like"), post, "label string, i int, j int, own int, rep long, v array<double>, copies long")
 
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
-        pivot, i, j = (x.as_py() for x in key[1:])
+        i, j = (x.as_py() for x in key[1:])
         own, rep, copies = (rows.column(c).to_numpy() for c in ("own", "rep", "copies"))
-        near_of = np.array(rows.column("near").to_pylist())
         all_v = rows.column("v").to_pylist()
         sizes = np.array([len(v) for v in all_v])
         links, low = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -109,34 +177,26 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 x, y = part[hit_a], c[hit_c]
                 if i == j:
                     x, y = x[x < y], y[x < y]
-                for t in range(0, len(x), 1 << 18):
-                    p, q = x[t : t + (1 << 18)], y[t : t + (1 << 18)]
-                    same = near_of[p][:, :, None] == near_of[q][:, None, :]
-                    both = same.any(axis=2)
-                    # The shared pivot of the lowest number judges the pair.
-                    first = np.where(both, near_of[p], np.iinfo(np.int32).max).min(axis=1)
-                    ok = (both.sum(axis=1) >= shared) & (first == pivot)
-                    p, q = p[ok], q[ok]
-                    np.add.at(links, p, copies[q])
-                    np.add.at(links, q, copies[p])
-                    join(low, p, q)
-        root = np.array([find(low, x) for x in range(len(rep))])
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
+                join(low, x, y)
+        root = roots(low)
         keep = (links > 0) | (root != np.arange(len(rep)))
         return pa.table({"rep": rep[keep], "links": links[keep], "root": rep[root[keep]]})
 
-    def find(low: np.ndarray, x: int) -> int:
-        while low[x] != x:
-            low[x] = low[low[x]]
-            x = low[x]
-        return x
+    def roots(low: np.ndarray) -> np.ndarray:
+        while (low[low] != low).any():
+            low[:] = low[low]
+        return low
 
     def join(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
-        for x, y in zip(p.tolist(), q.tolist(), strict=True):
-            x, y = find(low, x), find(low, y)
-            if x != y:
-                low[max(x, y)] = min(x, y)
+        """Hangs roots under lower roots until no pair has two."""
+        while len(p):
+            x, y = roots(low)[p], low[q]
+            p, q, x, y = (c[x != y] for c in (p, q, x, y))
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
 
-    judged = materialise(posted.groupBy("label", "pivot", "i", "j").applyInArrow(judge, "rep long, links long, root long"))
+    judged = materialise(posted.groupBy("label", "i", "j").applyInArrow(judge, "rep long, links long, root long"))
     counts = judged.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(judged.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of = distinct.join(counts, "rep", "left").join(comp, distinct.rep == comp.node, "left").select("rep", "copies", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))

@@ -264,6 +264,19 @@ def test_embedding(spark):
     assert embedding.link_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_dense_group(spark):
+    """A third of the rows are near copies of one vector: no link is lost, whatever blocks and pivots there are."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1500, 64))
+    v[::3] = v[0] / np.linalg.norm(v[0]) + rng.normal(size=(500, 64)) * 0.027
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    like = v @ v.T >= 0.93
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    for pivots, block in ((None, 2000), (700, 200)):
+        got = {r["vec_id"]: r["n_links"] for r in embedding.link_vectors(df, pivots=pivots, block=block).collect()}
+        assert got == {i: int(x) - 1 for i, x in enumerate(like.sum(axis=1))}
+
+
 def test_license(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "plain text"), (3, "a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\nother words here"), (4, "d/z.py", "nothing of that"), (5, None, None), (6, "a/w", ""), (7, "e/LICENSE", "All rights reserved."), (8, "e/f/g", "text\nthe general public reads the terms")]
     got = {r["id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
