@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates, found by meet-in-the-middle ball hashing; near-duplicate groups by a prefix join.
 
 Two fingerprints within r bits share a variant within r/2 bits of both. So
 each distinct fingerprint emits all its variants within r/2 bits, one shuffle
@@ -9,13 +9,16 @@ Two forms:
 * ``simhash_components``: one 64-bit fingerprint, linked at ``radius`` bits.
   A variant is shared by at most as many distinct fingerprints as a ball of
   radius r/2 has points (65 for r = 2), so no group grows with the data.
-* ``near_duplicate_groups``: for a similarity threshold. At a Jaccard of 0.8
-  some 15 % of the bits differ, a ball far too large to list; so a longer
-  fingerprint is cut into blocks, each ball-hashed at radius 2, and pairs that
-  meet in any block are checked on all bits, and where those leave doubt on the
-  shingle sets themselves. Blocks are six bits longer than the count of
-  documents needs (24 bits at least), so that unlike documents rarely meet, and
-  there are as many as meet in 95 of 100 pairs at the threshold.
+* ``near_duplicate_groups``: for a similarity threshold, exact. Shingles have one
+  order for all texts, those often found in a sample last. Two sets of a Jaccard
+  of t or more share a shingle among the first n - ceil(t n) + 1 of each, so each
+  distinct set is posted under these, and sets that meet under a shingle are
+  compared unless their sizes or places rule a Jaccard of t out, or they are
+  already in one component. That is done in rounds: each pairs a set with a
+  bounded number of the others of its bucket, components grow by what was
+  verified, and the last round leaves no two components of a bucket uncompared.
+  No pair is joined unverified. The sample decides the order alone: how many
+  pairs meet, never which are found.
 
 Defined cases: null and empty texts have fingerprint zero and link with each
 other (``near_duplicate_groups`` leaves them alone); fewer words than a shingle
@@ -28,24 +31,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import connected_components, map_batches, materialise, table, text_bytes, words_of
 
 SEED = 42
-#: Share of differing bits at the threshold, as measured; pairs at up to SURE are alike, at over DOUBT they are not, between them their shingle sets decide.
-DIFFER, SURE, DOUBT = 0.148, 0.10, 0.21
-MEET = 0.95
 SIMILAR = 0.8
-#: Distinct fingerprints for each salt of a bucket: bounds what one group holds.
-BUCKET_ROWS = 2_000_000
+#: The shingles that come last in the order: at most so many, found in OFTEN documents or more of a sample of one in SAMPLE (all, if under SAMPLE_ROWS).
+LAST, OFTEN, SAMPLE, SAMPLE_ROWS = 1 << 17, 3, 16, 20_000
+#: Documents for each part of the postings: bounds what one task holds.
+PART_ROWS = 4_000
+#: Others of a bucket that a set is paired with in the first round, and how the number grows.
+FIRST, GROWTH = 2, 32
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -107,46 +110,113 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(rooted.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def block_shape(documents: int) -> tuple[int, int]:
-    """Bits of a block, and blocks."""
-    bits = min(48, max(24, documents.bit_length() + 6))
-    meet = sum(comb(bits, k) * DIFFER**k * (1 - DIFFER) ** (bits - k) for k in range(3))
-    return bits, ceil(log(1 - MEET) / log(1 - meet))
+def distinct_shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text and text.lower()), shingle))
 
 
-def block_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, blocks: int) -> DataFrame:
-    """(doc_id, w): a SimHash of so many blocks of so many bits, a long each; rows without words are left out."""
-    lanes = -(-bits * blocks // 64)
-    rng = np.random.default_rng(SEED)
-    odd, odd2 = (rng.integers(0, 1 << 63, (2, lanes), np.uint64) << np.uint64(1)) | np.uint64(1)
-    value = (1 << np.arange(bits, dtype=np.int64))
+def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of shingles that many documents of a sample have, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = [], []
+            h = np.concatenate([np.zeros(0, np.uint64), *(distinct_shingles(t, shingle) for t in text_bytes(b, "t"))])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    share = max(1, min(SAMPLE, documents // SAMPLE_ROWS))
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("t")
+    got = map_batches(some, run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(LAST).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, node, n, prefix): a hash of the shingle set, its size, and its first shingles; rows without words are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = shared.value
+        for b in batches:
+            ids, nodes, sizes, firsts = [], [], [], []
             for i, t in enumerate(text_bytes(b, "t")):
-                h = shingle_hashes(words_of(t and t.lower()), shingle)
+                h = distinct_shingles(t, shingle)
                 if len(h):
-                    mixed = h[:, None] * odd
-                    mixed ^= mixed >> np.uint64(31)
-                    mixed *= odd2
-                    mixed ^= mixed >> np.uint64(29)
+                    rank = np.zeros(len(h), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        rank = np.where(known[at] == h, times[at], 0)
+                    length = len(h) - ceil(least * len(h) - 1e-9) + 1
                     ids.append(i)
-                    rows.append(majority(mixed)[: bits * blocks].reshape(blocks, bits) @ value)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "w"])
+                    nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                    sizes.append(len(h))
+                    firsts.append(h[np.argsort(rank, kind="stable")[:length]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["doc_id", "node", "n", "prefix"])
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "doc_id long, w array<long>")
+    return map_batches(docs, run, "doc_id long, node long, n int, prefix binary")
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set): the sorted distinct shingle hashes of each row, cut to 32 bits, as bytes."""
+def postings(sets: DataFrame, parts: int) -> DataFrame:
+    """(part, h, node, n, at) for each shingle h of a prefix that has another set's posting; at is its place."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            firsts = b.column("prefix").to_pylist()
+            h, lengths = np.frombuffer(b"".join(firsts), np.uint64), np.array([len(x) // 8 for x in firsts], np.int64)
+            node, n = (np.repeat(b.column(c).to_numpy(), lengths) for c in ("node", "n"))
+            at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(parts)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(node), pa.array(n), pa.array(at.astype(np.int32))], ["part", "h", "node", "n", "at"])
+
+    def met(rows: pa.Table) -> pa.Table:
+        _, back, count = np.unique(rows.column("h").to_numpy(), return_inverse=True, return_counts=True)
+        return rows.filter(pa.array(count[back] > 1))
+
+    schema = "part int, h long, node long, n int, at int"
+    return map_batches(sets.select("node", "n", "prefix"), spread, schema).groupBy("part").applyInArrow(met, schema)
+
+
+def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
+    """(a, b) of sets of different roots that meet and may be alike, each with at most so many of its bucket; a row (0, 0) if that left any out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        h, root, node, n, at = (rows.column(c).to_numpy() for c in ("h", "root", "node", "n", "at"))
+        order = np.lexsort((node, root, h))
+        h, root, node, n, at = (c[order] for c in (h, root, node, n, at))
+        here = np.arange(len(h))
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        bucket = np.maximum.accumulate(np.where(new, here, 0))
+        own = np.maximum.accumulate(np.where(new | np.concatenate([[True], root[1:] != root[:-1]]), here, 0))
+        others = own - bucket
+        take = np.minimum(others, most)
+        ends, found = np.cumsum(take), [np.zeros((0, 2), np.int64)]
+        low = 0
+        while low < len(h):  # so many rows that their pairs fit in memory, one at least
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+            y = np.repeat(here[low:high], take[low:high])
+            nth = np.arange(len(y)) - np.repeat(ends[low:high] - take[low:high] - (ends[low - 1] if low else 0), take[low:high])
+            x = bucket[y] + nth * others[y] // take[y]
+            need = np.ceil(least / (1 + least) * (n[x].astype(np.int64) + n[y]) - 1e-6)
+            ok = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= need
+            ok &= np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6
+            x, y = node[x[ok]], node[y[ok]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            low = high
+        if (others > most).any():
+            found.append(np.zeros((1, 2), np.int64))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return posted.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """(node, set): the sorted distinct shingle hashes of each text t, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t and t.lower()), shingle).astype(np.uint32)).tobytes() for t in text_bytes(b, "t")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [distinct_shingles(t, shingle).tobytes() for t in text_bytes(b, "t")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "id long, set binary")
+    return map_batches(df.select("node", "t"), run, "node long, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -156,60 +226,44 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+                keep.append(both + 1e-9 >= least * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    got = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     return map_batches(got, run, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR, first: int = FIRST) -> DataFrame:
     """(doc_id, group_id) of rows that have another row of a similarity of least or more; group_id is the smallest id of the group.
 
     Ids should be distinct: rows that share one are one document. Rows with a
     null id are left out.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    bits, blocks = block_shape(docs.count())
-    fps = materialise(block_fingerprints(docs, id_col, text_col, shingle, bits, blocks))
-    distinct = materialise(fps.groupBy("w").agg(F.min("doc_id").alias("id")))
-    salts = 1 + distinct.count() // BUCKET_ROWS
-    masks = F.array(*(F.lit(m) for m in ball(bits, 1)))
-    variants = F.flatten(F.transform("w", lambda x, i: F.transform(masks, lambda m: x.bitwiseXOR(m).bitwiseOR(F.shiftleft(i.cast("long"), 48)))))
-    out = distinct.select("id", F.explode(variants).alias("variant"))
-
-    def linked(rows: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-        """Links of each member of a bucket to its smallest and to its neighbour in order; the smallest of each bucket.
-
-        A sort and a running window: no bucket is gathered into an array, and what is sorted can spill.
-        """
-        order = Window.partitionBy(*key).orderBy("id")
-        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        met = rows.select("variant", "id", F.first("id").over(so_far).alias("low"), F.lag("id").over(order).alias("before"))
-        later = met.where("before is not null")
-        return later.select(F.explode(F.array_distinct(F.array("low", "before"))).alias("a"), F.col("id").alias("b")).where("a != b"), met.where("before is null").select("variant", "id")
-
-    if salts == 1:
-        links, _ = linked(out, "variant")
-    else:
-        first, lows = linked(out.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))), "variant", "salt")
-        links = first.union(linked(lows, "variant")[0])
-    side = lambda n: distinct.select(F.col("id").alias(n), F.col("w").alias("w" + n))
-    far = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    sure, doubt = int(SURE * bits * blocks), int(DOUBT * bits * blocks)
-    met = materialise(links.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", far.alias("far")).where(F.col("far") <= doubt))
-    comp = connected_components(met.where(F.col("far") <= sure).select("a", "b"))
-    root = lambda df, n: df.join(comp.select(F.col("node").alias(n), F.col("root").alias("r" + n)), n, "left").withColumn("r" + n, F.coalesce("r" + n, n))
-    doubt = materialise(root(root(met.where(F.col("far") > sure), "a"), "b").where("ra != rb").select("a", "b"))
-    ids = doubt.select(F.col("a").alias(id_col)).union(doubt.select("b")).distinct()
-    sets = materialise(shingle_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]))
-    comp = connected_components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(doubt, sets, least)))
-    of = distinct.join(comp, distinct.id == comp.node, "left").select("w", F.coalesce("root", "id").alias("group_id"))
-    grouped = materialise(fps.join(of, "w").select("doc_id", "group_id").distinct())
-    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return grouped.join(sizes, "group_id").select("doc_id", "group_id")
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    documents = docs.count()
+    made = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)))
+    distinct = made.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("node", "x.*")
+    posted = materialise(postings(distinct, 1 + documents // PART_ROWS))
+    meets = posted.select("node").distinct()
+    carriers = made.select("node", "doc_id").join(meets, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+    sets = materialise(shingle_sets(docs.join(carriers, "id"), shingle).dropDuplicates(["node"]))
+    # Rows that share an id are one document.
+    links = materialise(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
+    most = first
+    while True:
+        comp = materialise(connected_components(links))
+        rooted = posted.join(comp, "node", "left").select("part", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        pairs = materialise(candidates(rooted, least, most))
+        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), sets, least)))
+        if pairs.where("a = b").isEmpty():
+            break
+        most *= GROWTH
+    comp = connected_components(links)
+    of = made.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
+    lows = of.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
+    return materialise(of.join(lows, "root").select("doc_id", "group_id"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

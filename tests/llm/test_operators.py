@@ -74,6 +74,37 @@ def test_simhash(docs, none):
     assert near[4] == near[8] == 4 and 104 not in near and 100 not in near
 
 
+def near_groups(texts: list[str]) -> dict[int, int]:
+    """By brute force: ids of 5-word shingle sets of a Jaccard of 0.8 or more, and the smallest id of their group."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    low = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if low[i] != low[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((low[i], low[j]))
+                low = [x if r == y else r for r in low]
+    return {i: r for i, r in enumerate(low) if low.count(r) > 1}
+
+
+def assert_groups(spark, texts: list[str], **options) -> dict[int, int]:
+    expected = near_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(df, **options).collect()} == expected
+    return expected
+
+
+def test_near_pairs_among_unlike(spark):
+    """Pairs of Jaccard 0.85 in a family that shares boilerplate at 0.6 to 0.75: each pair is found, and no two pairs are joined."""
+    rng = random.Random(5)
+    shared = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        own = [f"w{i}_{k}" for k in range(24)]
+        texts += [" ".join(shared + own)] + ([" ".join(shared + own[: rng.choice((16, 17))])] if i % 3 == 0 else [])
+    for first in (1, simhash.FIRST):
+        assert len(assert_groups(spark, texts, first=first)) >= 90
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
