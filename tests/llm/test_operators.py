@@ -105,6 +105,12 @@ def test_near_pairs_among_unlike(spark):
         assert len(assert_groups(spark, texts, first=first)) >= 90
 
 
+def test_near_short_texts(spark):
+    """8 words and the same with a ninth share 4 of 5 shingles: a Jaccard of 0.8."""
+    texts = [" ".join(f"s{i}_{k}" for k in range(n)) for i in range(100) for n in (8, 9)]
+    assert len(assert_groups(spark, texts)) == 200
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
