@@ -111,6 +111,15 @@ def test_near_short_texts(spark):
     assert len(assert_groups(spark, texts)) == 200
 
 
+def test_near_repeated_lines(spark):
+    """Equal sets of shingles are alike, however often a line repeats."""
+    texts = []
+    for i in range(10):
+        head, line = " ".join(f"h{i}_{k}" for k in range(90)), " ".join(f"l{i}_{k}" for k in range(10))
+        texts += [f"{head} {line} {line}", f"{head} " + " ".join([line] * 50)]
+    assert len(assert_groups(spark, texts)) == 20
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
