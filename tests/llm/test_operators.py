@@ -120,6 +120,12 @@ def test_near_repeated_lines(spark):
     assert len(assert_groups(spark, texts)) == 20
 
 
+def test_near_nothing_unverified(spark):
+    """Texts that share one line, repeated, and little else are not alike."""
+    texts = [" ".join(["the same line of ten words stands here many times"] * 40 + [f"o{i}_{k}" for k in range(40)]) for i in range(40)]
+    assert assert_groups(spark, texts) == {}
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
