@@ -126,6 +126,13 @@ def test_near_nothing_unverified(spark):
     assert assert_groups(spark, texts) == {}
 
 
+def test_near_parts(spark, monkeypatch):
+    """Groups don't depend on how postings are dealt out."""
+    texts = [" ".join([f"f{i % 4}_{k}" for k in range(60)] + [f"o{i}_{k}" for k in range(i % 12)]) for i in range(60)]
+    monkeypatch.setattr(simhash, "PART_ROWS", 3)
+    assert assert_groups(spark, texts)
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
