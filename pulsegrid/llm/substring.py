@@ -1,26 +1,34 @@
 """Substring dedup: repeated word windows, prefiltered by a count-min sketch.
 
 A window is ``size`` consecutive words of one document. A word goes if a
-window that covers it also starts in a document with a smaller id. Two passes:
-
-1. Each task hashes its windows into the counters of a count-min sketch. It
-   sends a sparse sketch (sorted, delta-coded counter numbers) cut into ranges
-   of counters; each range is added up over all tasks, and what comes back is a
-   bit for each counter: two or more. The sketch has a fixed size (2 rows of
-   ``2**bits`` counters), so what is broadcast has one too.
-2. Windows whose counters all have the bit may repeat; sketches overestimate,
-   so no repeated window is missed. Only these are grouped exactly, by 96 bits
-   of two independent hashes: each task keeps the smallest document of each
-   window, settles its own others at once, and sends one entry for each window;
-   a window that is everywhere has as many entries as there are tasks. The
-   answers are word positions by document, and a last pass cuts the words out.
-
-Where the windows far outnumber the counters, the sketch lets more windows
-through and the second pass does more work; results stay the same.
+window that covers it also starts in a document with a smaller id. Documents get
+row numbers and are dealt into chunks of some megabytes; all else works on
+chunks, so that messages and answers are counted by chunks, not by documents:
+
+1. Sketch. Each chunk hashes its windows. A hash names a range of the count-min
+   sketch and a place in it, from which the counters of both rows follow. The
+   chunk's own sketch is sparse, its sorted places; the merged sketch of a range
+   adds up all chunks'. There are as many ranges as the windows need, each of a
+   fixed size, so the sketch grows with the input and no task holds more than
+   one range. A range answers each chunk with a bit for each place it sent: is
+   the least of its counters two or more? Counters overestimate, so no repeated
+   window is missed. Nothing passes through the driver.
+2. Exact groups. Only windows with that bit are grouped, by 96 bits of two
+   independent hashes: each chunk keeps the smallest document of each window,
+   settles its own others at once, and sends one entry for each window of that
+   document; a window that is everywhere has as many entries as there are
+   chunks. The answers are places in the chunk, and a last pass cuts words out.
+
+All three passes read one shuffle of the texts. Words are never compared after
+hashing: among n windows, the chance that any two unlike ones share 96 bits is
+about n**2 / 2**97, a quarter of a percent for the 2e13 windows of 100 TB.
 
 Defined cases: a null text has no words; ids that are null come after all
 others, and rows with equal ids never cut each other's words; repeated rows
-give repeated rows.
+give repeated rows; a text of any length is one row of one chunk, hashed in
+pieces of words; an empty table gives an empty one. Of the input, only the id,
+the text and the columns named in carry are read, under names of their own, so
+that columns of any other name are harmless.
 """
 
 from __future__ import annotations
@@ -32,14 +40,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import deflate, inflate, map_batches, table, text_bytes, text_bytes_total, words_of
+from ._common import deflate, inflate, materialise, table, text_bytes, text_bytes_total, words_of
 
 SIZE = 13
-#: Most bits of a sketch row; two rows of 2**28 counters are 64 MB when cut to a bit each.
-MOST_BITS, RANGE_BITS = 28, 22
-#: Windows that a task holds before it sends them on, and that one group is meant to read.
-HELD, GROUP = 1_000_000, 4_000_000
+#: Bytes of text that a chunk is meant to hold, and chunks that there are at least.
+CHUNK, LEAST_CHUNKS = 8_000_000, 16
+#: Windows that a range of the sketch and a group of the second pass are meant for.
+GROUP = 3_000_000
+#: Bits of a place in a range; a row has a counter for each four places, which are four or more for a window.
+PLACE_BITS = 26
+#: Bytes of text that are cut into words at once.
+PIECE = 2_000_000
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(13)
@@ -47,7 +60,7 @@ _MULT = (_rng.integers(0, 1 << 63, (2, 4096), np.uint64) << np.uint64(1)) | np.u
 
 
 def window_hashes(docs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows: number of the document, first word, and two 64-bit hashes."""
+    """Of all windows: number of the document, place of the first word among all words, and two 64-bit hashes."""
     lengths = np.array([len(w) for w in docs], np.int64)
     digest = xxhash.xxh3_128_digest
     flat = np.frombuffer(b"".join([digest(w) for words in docs for w in words]), np.uint64).reshape(-1, 2)
@@ -55,204 +68,197 @@ def window_hashes(docs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.nd
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(docs)), lengths)
-    pos = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-    whole = (pos + size <= lengths[doc])[:n]
+    whole = np.arange(n) + size <= np.cumsum(lengths)[doc[:n]]
     h = np.zeros((2, n), np.uint64)
     for row in range(2):
         lane = np.ascontiguousarray(flat[:, row])
         for j in range(size):
             h[row] += lane[j : j + n] * _MULT[row, j]
         h[row] ^= h[row] >> np.uint64(32)
-    return doc[:n][whole], pos[:n][whole], h[0][whole], h[1][whole]
+    return doc[:n][whole], np.flatnonzero(whole), h[0][whole], h[1][whole]
 
 
-def pack_sorted(a: np.ndarray) -> bytes:
-    """Sorted uint32 numbers as one byte of difference each, larger differences apart."""
+def pack_sorted(a: np.ndarray, kind=np.uint8) -> bytes:
+    """Sorted uint32 numbers as differences of one byte (or two), larger differences apart."""
+    most = np.iinfo(kind).max
     d = np.diff(a, prepend=np.uint32(0)).astype(np.uint32)
-    small = np.minimum(d, 255).astype(np.uint8)
-    return len(a).to_bytes(8, "little") + small.tobytes() + d[d >= 255].tobytes()
+    return len(a).to_bytes(8, "little") + np.minimum(d, most).astype(kind).tobytes() + d[d >= most].tobytes()
 
 
-def unpack_sorted(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    d = np.frombuffer(b, np.uint8, n, 8).astype(np.uint32)
-    d[d == 255] = np.frombuffer(b, np.uint32, offset=8 + n)
+def unpack_sorted(b: bytes, kind=np.uint8) -> np.ndarray:
+    n, most = int.from_bytes(b[:8], "little"), np.iinfo(kind).max
+    d = np.frombuffer(b, kind, n, 8).astype(np.uint32)
+    d[d == most] = np.frombuffer(b, np.uint32, offset=8 + n * np.dtype(kind).itemsize)
     return np.cumsum(d, dtype=np.uint32)
 
 
-def batches_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Batches with the words of their texts, cut so that one holds some megabytes of text."""
-    for b in batches:
-        at, texts = 0, text_bytes(b, "t")
-        while at < len(texts):
-            to, held = at, 0
-            while to < len(texts) and (to == at or held < 3_000_000):
-                held += len(texts[to] or b"")
-                to += 1
-            yield b.slice(at, to - at), [words_of(t) for t in texts[at:to]]
-            at = to
-
-
-def repeated_counters(docs: DataFrame, bits: int, size: int) -> list[bytes]:
-    """For each range of both sketch rows, in order: a bit for each counter that reached two."""
-    range_bits = min(RANGE_BITS, bits)
-    ranges = 1 << (bits - range_bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def send() -> pa.RecordBatch:
-            keys, blobs = [], []
-            for row in range(2):
-                slots = np.concatenate([h[row] for h in held])
-                slots.sort()
-                cuts = np.searchsorted(slots, (np.arange(ranges + 1, dtype=np.int64) << range_bits))
-                for r in range(ranges):
-                    if cuts[r] < cuts[r + 1]:
-                        keys.append(row * ranges + r)
-                        blobs.append(pack_sorted(slots[cuts[r] : cuts[r + 1]] - np.uint32(r << range_bits)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["part", "sketch"])
-
-        for _, words in batches_of_docs(batches):
-            _, _, a, b = window_hashes(words, size)
-            held.append(np.stack([(h >> np.uint64(64 - bits)).astype(np.uint32) for h in (a, b)]))
-            if sum(x.shape[1] for x in held) >= 4 * HELD:
-                yield send()
-        if held:
-            yield send()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums the sketches of each range; the rows come sorted by range."""
-        part, counters = None, np.zeros(1 << range_bits, np.uint8)
-
-        def bit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(counters >= 2, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-        for b in batches:
-            for p, blob in zip(b.column("part").to_pylist(), b.column("sketch").to_pylist(), strict=True):
-                if p != part:
-                    if part is not None:
-                        yield bit()
-                    part, counters[:] = p, 0
-                slots = unpack_sorted(blob)
-                twice = slots[1:][slots[1:] == slots[:-1]]
-                counters[slots] = np.minimum(counters[slots] + 1, 2)
-                counters[twice] = 2
-        if part is not None:
-            yield bit()
-
-    sketches = map_batches(docs.select("t"), count, "part int, sketch binary")
-    summed = sketches.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
-    empty = bytes((1 << range_bits) // 8)
-    got = {r.part: bytes(r.bits) for r in summed.collect()}  # at most 2 * 2**bits bits
-    return [got.get(p, empty) for p in range(2 * ranges)]
-
-
-def removed_words(docs: DataFrame, bits: int, size: int, windows: int) -> DataFrame:
-    """(doc, row, at): for each document whose windows start in an earlier one, the packed first words of those."""
-    spark = docs.sparkSession
-    twice = repeated_counters(docs, bits, size)
-    half = len(twice) // 2
-    # One piece for each sketch row, which workers read in place.
-    sketch = spark.sparkContext.broadcast((b"".join(twice[:half]), b"".join(twice[half:])))
-    del twice
-    shards = 12 + windows // GROUP
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.uint8) for x in sketch.value]
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def send() -> Iterator[pa.RecordBatch]:
-            doc, row, pos, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((doc, b, a))
-            doc, row, pos, a, b = doc[order], row[order], pos[order], a[order], b[order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-            low = doc[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))]
-            later = doc > low
-            shard = (b % np.uint64(shards)).astype(np.int32)
-            for s in range(shards):
-                cut, own = np.flatnonzero((shard == s) & later), np.flatnonzero((shard == s) & ~later)
-                if len(cut) or len(own):
-                    # In the order of the texts, in which documents and places pack well.
-                    own, cut = own[np.argsort(order[own])], cut[np.argsort(order[cut])]
-                    packed = [deflate(x) for x in (a[own], b[own].astype(np.uint32), doc[own], row[own], np.diff(pos[own], prepend=0).astype(np.int32), doc[cut], row[cut], np.diff(pos[cut], prepend=0).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", *FIELDS])
-
-        for batch, words in batches_of_docs(batches):
-            n, pos, a, b = window_hashes(words, size)
-            may = np.ones(len(a), bool)
-            for h, have in zip((a, b), rows, strict=True):
-                slot = h >> np.uint64(64 - bits)
-                may &= (have[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            n, pos, a, b = n[may], pos[may], a[may], b[may]
-            doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
-            held.append((doc[n], row[n], pos.astype(np.int32), a, b))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield from send()
-        if held:
-            yield from send()
-
-    FIELDS = ["a", "b", "doc", "row", "pos", "cut_doc", "cut_row", "cut_pos"]
-    kinds = [np.uint64, np.uint32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32]
-
-    def unpacked(blob: bytes, name: str, kind) -> np.ndarray:
-        got = inflate(blob, kind)
-        return np.cumsum(got, dtype=np.int64).astype(np.uint32) if "pos" in name else got
+def in_order(chunk: pa.Table) -> pa.Table:
+    """The rows of a chunk by id and row number: each pass sees them in the same order."""
+    return chunk.take(pa.array(np.lexsort((chunk.column("no").to_numpy(), chunk.column("doc").to_numpy()))))
+
+
+def pieces(chunk: pa.Table) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """First row and words of so many texts that one piece holds some megabytes (a text is never cut)."""
+    at, texts = 0, text_bytes(chunk, "t")
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held < PIECE):
+            held += len(texts[to] or b"")
+            to += 1
+        yield at, [words_of(t) for t in texts[at:to]]
+        at = to
+
+
+def chunk_windows(chunk: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of a chunk in order: document, place among the chunk's words, and two hashes."""
+    ids, base, found = chunk.column("doc").to_numpy(), 0, []
+    for at, words in pieces(chunk):
+        n, pos, a, b = window_hashes(words, size)
+        found.append((ids[at + n], (base + pos).astype(np.uint32), a, b))
+        base += sum(map(len, words))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, k) for k in (np.int64, np.uint32, np.uint64, np.uint64))
+
+
+def sketch_keys(a: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Range and place of each window in one number."""
+    part = ((a >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return part << np.uint64(bits) | a & np.uint64((1 << bits) - 1)
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(sorted_values))[: len(starts)]
+
+
+def counters(places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each place in the two rows."""
+    return places >> np.uint32(2), (places * np.uint32(0x9E3779B1)) >> np.uint32(34 - bits)
+
+
+def estimated_repeats(stored: DataFrame, ranges: int, size: int, bits: int) -> DataFrame:
+    """(chunk, range, bits): for each chunk, which of its windows, sorted by range and place, the sketch counts twice or more."""
+
+    def own_sketch(key: tuple, chunk: pa.Table) -> pa.Table:
+        keys = sketch_keys(chunk_windows(in_order(chunk), size)[2], ranges, bits)
+        keys.sort()
+        part = (keys >> np.uint64(bits)).astype(np.int64)
+        places = (keys & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        starts, ends = runs(part)
+        blobs = [pack_sorted(places[s:e], np.uint16) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.table({"range": part[starts], "chunk": pa.array([key[0].as_py()] * len(starts), pa.int64()), "sketch": pa.array(blobs, pa.binary())})
+
+    def merged(sketches: pa.Table) -> pa.Table:
+        rows = np.zeros((2, 1 << (bits - 2)), np.uint8)  # counters that stop at two
+        blobs = sketches.column("sketch").to_pylist()
+        for blob in blobs:
+            for row, at in zip(rows, counters(unpack_sorted(blob, np.uint16), bits), strict=True):
+                at = np.sort(at)
+                again = np.concatenate([[False], at[1:] == at[:-1]])
+                row[at[~again]] = np.minimum(row[at[~again]] + 1, 2)
+                row[at[again]] = 2
+        answers = []
+        for blob in blobs:
+            first, second = counters(unpack_sorted(blob, np.uint16), bits)
+            answers.append(np.packbits(np.minimum(rows[0][first], rows[1][second]) >= 2).tobytes())
+        return pa.table({"chunk": sketches.column("chunk"), "range": sketches.column("range"), "bits": pa.array(answers, pa.binary())})
+
+    sketches = stored.groupBy("chunk").applyInArrow(own_sketch, "range long, chunk long, sketch binary")
+    return sketches.groupBy("range").applyInArrow(merged, "chunk long, range long, bits binary")
+
+
+def removed_windows(stored: DataFrame, repeats: DataFrame, groups: int, size: int, bits: int) -> DataFrame:
+    """(chunk, at): packed places of windows that start in a document of a smaller id too."""
+    fields = ["a", "b", "doc", "at", "cut"]
+    none = pa.scalar(None, pa.binary())
+
+    def ask(key: tuple, chunk: pa.Table, estimates: pa.Table) -> pa.Table:
+        doc, at, a, b = chunk_windows(in_order(chunk), size)
+        keys = sketch_keys(a, groups, bits)
+        order = np.argsort(keys, kind="stable")
+        starts, ends = runs(keys[order] >> np.uint64(bits))
+        answers = estimates.column("bits").take(pa.array(np.argsort(estimates.column("range").to_numpy()))).to_pylist()
+        may = np.zeros(len(a), bool)
+        for s, e, own in zip(starts.tolist(), ends.tolist(), answers, strict=True):
+            may[order[s:e]] = np.unpackbits(np.frombuffer(own, np.uint8), count=e - s).astype(bool)
+        doc, at, a, b = (x[may] for x in (doc, at, a, b))
+        order = np.lexsort((doc, b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(a)), 0)) if len(a) else order
+        later = np.zeros(len(a), bool)
+        later[order] = doc[order] > doc[order[first]]
+        cut = at[later]
+        doc, at, a, b = (x[~later] for x in (doc, at, a, b))
+        shard = (b % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")  # within a shard in the order of the text, where ids and places pack well
+        starts, ends = runs(shard[order])
+        parts = [order[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        columns = [[a[p].tobytes(), b[p].astype(np.uint32).tobytes(), deflate(np.diff(doc[p], prepend=0)), deflate(np.diff(at[p], prepend=0).astype(np.int32)), none] for p in parts]
+        to = shard[order[starts]].tolist()
+        if len(cut):
+            columns.append([none] * 4 + [pack_sorted(cut)])
+            to.append(key[0].as_py() % groups)
+        columns = list(zip(*columns, strict=True)) or [[]] * len(fields)
+        return pa.table({"shard": pa.array(to, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(to), pa.int64())} | {f: pa.array([None if x is none else x for x in c], pa.binary()) for f, c in zip(fields, columns, strict=True)})
 
     def answer(messages: pa.Table) -> pa.Table:
-        a, b, doc, row, pos, cut_doc, cut_row, cut_pos = (np.concatenate([unpacked(x, f, k) for x in messages.column(f).to_pylist()]) for f, k in zip(FIELDS, kinds, strict=True))
+        settled = messages.filter(messages.column("cut").is_valid())
+        asked = messages.filter(messages.column("cut").is_null())
+        a, b = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in asked.column(f).to_pylist())]) for f, k in (("a", np.uint64), ("b", np.uint32)))
+        places = [np.cumsum(inflate(x, np.int32), dtype=np.int64).astype(np.uint32) for x in asked.column("at").to_pylist()]
+        doc = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(inflate(x, np.int64)) for x in asked.column("doc").to_pylist())])
         order = np.lexsort((doc, b, a))
-        a, b, doc, row, pos = a[order], b[order], doc[order], row[order], pos[order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        later = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))] if len(a) else first
-        doc, row, pos = (np.concatenate(x) for x in ((doc[later], cut_doc), (row[later], cut_row), (pos[later], cut_pos)))
-        order = np.lexsort((pos, row, doc))
-        doc, row, pos = doc[order], row[order], pos[order]
-        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])) if len(doc) else np.zeros(0, int)
-        at = [pack_sorted(np.unique(x)) for x in np.split(pos, starts[1:])] if len(doc) else []
-        return pa.table({"doc": doc[starts], "row": row[starts], "at": pa.array(at, pa.binary())})
-
-    asked = map_batches(docs.select("doc", "row", "t"), ask, "shard int, " + ", ".join(f"{f} binary" for f in FIELDS))
-    return asked.groupBy("shard").applyInArrow(answer, "doc long, row long, at binary")
-
-
-def cut_words(words: list[bytes], starts: list[bytes], size: int) -> list[bytes]:
-    """The words that no window at one of the packed starts covers."""
-    edge = np.zeros(len(words) + 1, np.int32)
-    for blob in starts:
-        at = unpack_sorted(blob)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + size, -1)
-    keep = np.cumsum(edge[:-1]) == 0
-    return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_bits: int = MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(a)), 0)) if len(a) else order
+        later = np.zeros(len(a), bool)
+        later[order] = doc[order] > doc[order[first]]
+        chunks, cuts, base = settled.column("chunk").to_pylist(), settled.column("cut").to_pylist(), 0
+        for chunk, at in zip(asked.column("chunk").to_pylist(), places, strict=True):
+            cut = at[later[base : base + len(at)]]
+            base += len(at)
+            if len(cut):
+                chunks.append(chunk)
+                cuts.append(pack_sorted(cut))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "at": pa.array(cuts, pa.binary())})
+
+    schema = "shard long, chunk long, " + ", ".join(f"{f} binary" for f in fields)
+    asked = stored.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(ask, schema)
+    return asked.groupBy("shard").applyInArrow(answer, "chunk long, at binary")
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = (), chunk: int = CHUNK, group: int = GROUP, bits: int = PLACE_BITS) -> DataFrame:
     """(doc_id, text, n_words, n_removed) and the columns named in carry: texts without repeated windows, kept words joined by one space; a null text gives an empty one."""
     names = [f"c{j}" for j in range(len(carry))]
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for n, c in zip(names, carry, strict=True)))
-    docs = docs.select("id", "t", F.coalesce("id", F.lit(LAST)).alias("doc"), F.xxhash64("t").alias("row"), *names)
-    windows = text_bytes_total(docs, "t") // 5
-    bits = min(most_bits, max(16, windows.bit_length() + 1))
-    cuts = removed_words(docs, bits, size, windows).groupBy("doc", "row").agg(F.collect_list("at").alias("at"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, counts, gone = [], [], []
-            for t, at in zip(text_bytes(b, "t"), b.column("at").to_pylist(), strict=True):
-                words = words_of(t)
-                kept = cut_words(words, at, size) if at else words
-                texts.append(b" ".join(kept))
+    size_of_all = text_bytes_total(docs, "t")
+    chunks, groups = LEAST_CHUNKS + size_of_all // chunk, 12 + size_of_all // 5 // group
+    # The table fixes the row numbers, so that a task that runs again finds the same chunks.
+    stored = materialise(docs.withColumns({"doc": F.coalesce("id", F.lit(LAST)), "no": F.monotonically_increasing_id()}))
+    stored = stored.withColumn("chunk", F.pmod(F.xxhash64("no"), F.lit(chunks)))
+    cuts = removed_windows(stored, estimated_repeats(stored, groups, size, bits), groups, size, bits)
+
+    def cut(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk, base = in_order(chunk), 0
+        starts = np.sort(np.concatenate([np.zeros(0, np.uint32), *(unpack_sorted(x) for x in answers.column("at").to_pylist())])).astype(np.int64)
+        texts, counts, gone = [], [], []
+        for _, docs in pieces(chunk):
+            flat = sum(map(len, docs))
+            own = starts[slice(*np.searchsorted(starts, [base, base + flat]))] - base
+            edge = np.bincount(own, minlength=flat + 1) - np.bincount(own + size, minlength=flat + 1)  # windows end within their document
+            keep, at = np.cumsum(edge[:-1]) == 0, 0
+            for words in docs:
+                kept = keep[at : at + len(words)]
+                n = int(kept.sum())
+                texts.append(b" ".join(words if n == len(words) else [w for w, k in zip(words, kept.tolist(), strict=True) if k]))
                 counts.append(len(words))
-                gone.append(len(words) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), *(b.column(n) for n in names)], ["doc_id", "text", "n_words", "n_removed", *names])
+                gone.append(len(words) - n)
+                at += len(words)
+            base += flat
+        return pa.table({"doc_id": chunk.column("id"), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())} | {n: chunk.column(n) for n in names})
 
-    schema = "doc_id long, text string, n_words long, n_removed long" + "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    out = map_batches(docs.join(cuts, ["doc", "row"], "left").select("id", "t", "at", *names), cut, schema)
+    kinds = [("doc_id", T.LongType()), ("text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), *((n, docs.schema[n].dataType) for n in names)]
+    out = stored.groupBy("chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(cut, T.StructType([T.StructField(*k) for k in kinds]))
     return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
