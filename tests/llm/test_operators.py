@@ -245,11 +245,68 @@ def test_fingerprint(spark, docs, none):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["text"], r["next"]) for r in fingerprint.with_next_text(docs).collect())
     assert got == sorted(((d is None, d or 0), t, n) for d, t, n in nexts)
     assert fingerprint.with_next_text(none).count() == 0
-    s = docs.select("doc_id", fingerprint.sketch(F.col("text")).alias("s"), fingerprint.sketch(F.concat(F.col("text"), F.lit(" more of it"))).alias("m"))
-    r = {x["doc_id"]: x for x in s.select("*", fingerprint.likeness(F.col("s"), F.col("m")).alias("like")).collect()}
-    assert r[4]["s"] == r[8]["s"] and r[102]["s"] == [] and all(0 <= h < 1 << 62 or len(x["s"]) == 1 for x in r.values() for h in x["s"] or [])
-    long = [x[0] for x in corpus() if x[0] is not None and x[0] < 60 and len(split(x[1])) >= 60]
-    assert long and all(r[i]["like"] > 0.9 for i in long)
+    for n in (0, 1, 2, 7, 40):
+        bounds = sorted(random.Random(n).sample(range(60), n))
+        ids = spark.range(60)
+        assert [r[0] for r in ids.select(fingerprint.bisected(F.col("id"), bounds)).collect()] == [sum(b < i for b in bounds) for i in range(60)]
+
+
+def brute_sketches(spark, texts: list[str]) -> list[tuple[list[int], int | None]]:
+    """Hashes below a quarter of the range and the fallback, from Spark's hash of words and of their runs alone."""
+    runs = []
+    for t in texts:
+        w = [x.decode() for x in split(t.lower())]
+        runs.append([w[i : i + 5] for i in range(len(w) - 4)] if len(w) > 5 else [w] if w else [])
+    flat = spark.createDataFrame([(i, r) for i, x in enumerate(runs) for r in x], "i int, r array<string>")
+    words = F.transform("r", lambda w: F.xxhash64(w))
+    hashed = F.when(F.size("r") < 5, F.xxhash64(words)).otherwise(F.xxhash64(*(F.get(words, F.lit(j)) for j in range(5))))
+    got = [[] for _ in texts]
+    for i, h, n in flat.select("i", hashed, F.size("r")).collect():
+        got[i].append(h)
+    low = [sorted({h for h in x if 0 <= h < 1 << 62}) for x in got]
+    return [(a, min(x) if x and not a else None) for a, x in zip(low, got, strict=True)]
+
+
+def test_fingerprint_sketch(spark):
+    """Sketch, union and containment against brute force; a short text in a long one never reads as not contained."""
+    rng = random.Random(8)
+    long = " ".join(f"l{i}" for i in range(900))
+    words = long.split()
+    texts = [long, "", "one", "ONE two", "a b c d e", "Éa b c d e f"]
+    for _ in range(80):
+        at, n = rng.randrange(880), rng.randint(6, 18)
+        texts.append(" ".join(words[at : at + n]))
+    want = brute_sketches(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", fingerprint.sketch(F.col("t")).alias("s"))
+    got = {r["i"]: (r["s"]["hashes"], r["s"]["least"]) for r in df.collect()}
+    assert got == dict(enumerate(want))
+    both = df.withColumn("whole", fingerprint.sketch(F.lit(long))).select("i", fingerprint.likeness(F.col("s"), F.col("whole")).alias("like"), fingerprint.merged(F.col("s"), F.col("whole")).alias("m"), fingerprint.likeness(F.col("s"), F.col("s")).alias("own"))
+    for r in both.collect():
+        hashes = want[r["i"]][0]
+        assert (r["m"]["hashes"], r["m"]["least"]) == (sorted({*hashes, *want[0][0]}), None) and r["own"] == 1
+        if r["i"] > 5:
+            assert r["like"] == (1.0 if hashes else None)
+    assert sum(1 for i in range(6, len(texts)) if not want[i][0]) > 3
+
+
+def test_op8_columns(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = [r for r in fingerprint.op8_document_fingerprints(spark, str(tmp_path)).collect()]
+    rows = sorted(corpus(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    texts = [r[1] or "" for r in rows]
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    key = lambda d, n, e: ((d is None, d or 0), n, e)
+    assert sorted(key(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == sorted(key(r[0], len(t), hashlib.sha256(e.encode()).hexdigest()) for r, t, e in zip(rows, texts, edited, strict=True))
+    own = {}
+    for r, t in zip(rows, texts, strict=True):
+        own[r[0]] = t
+    prints = {r["doc_id"]: r["fingerprint"] for r in out}
+    assert all((prints[a] == prints[b]) == (own[a] == own[b]) or not {len(split(own[a])), len(split(own[b]))} - {0} or split(own[a].lower()) == split(own[b].lower()) for a in own for b in own)
+    assert all(0 <= r[c] <= 1 for r in out for c in ("near_edited", "near_next"))
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [split(t.lower())] for i in range(len(w) - 4)}
+    exact = {r[0]: (sets(t), sets(e)) for r, t, e in zip(rows, texts, edited, strict=True)}
+    errors = [r["near_edited"] - len(x & y) / min(len(x), len(y)) for r in out for x, y in [exact[r["doc_id"]]] if min(len(x), len(y)) > 50]
+    assert len(errors) > 8 and max(map(abs, errors)) < 0.3 and abs(np.mean(errors)) < 0.08
 
 
 def test_mixing(docs, none):
