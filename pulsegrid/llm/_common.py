@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words in every contract: runs of anything but space and the controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of a batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker, and Spark's own bound.
+BATCH_BYTES, BATCH_CONF, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -41,8 +42,12 @@ def release() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of few bytes rather than of many rows, however long the texts are (a text is never cut)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow over batches of few bytes rather than of many rows, however long the texts are (a text is never cut).
+
+    Spark has this bound for the session alone: it is set once, unless the session has one of its own.
+    """
+    if df.sparkSession.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -52,23 +57,39 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset and everything runs on this machine (tests), a temporary one."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         own = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; it may go when the application's results are written."""
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     It cuts the lineage, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a frame that materialise returned and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
@@ -109,4 +130,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(v.alias("u"), F.col("m").alias("v")).where("u != v")
-        e = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
