@@ -5,12 +5,17 @@ labelled training texts. A document is a mixture of languages, word by word:
 expectation-maximisation estimates the proportions from the words' n-gram
 likelihoods, then the set of languages is the nested one (most present first)
 whose log-likelihood, less ``penalty`` times the logarithm of the words for
-each language, is highest. The prediction is the largest part of that set, and
-its score that part.
+each language, is highest. All nested sets count, from one language to all;
+larger ones are left out only where a bound on the likelihood of any mixture
+shows that none of them can be better. The prediction is the largest part of
+that set, and its score that part.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text when there is nothing to learn from; labels that are null are not
-learned from; ties go to the language that sorts first. Repeated rows stay.
+learned from; ties go to the language that sorts first. Repeated rows stay. A
+very long text is looked up in pieces; its words by languages are one matrix.
+An empty table gives an empty one. Columns are read under names of their own,
+so those named in carry may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from ._common import crc_mod, map_batches, table
 CELLS_BITS, GRAM, SMOOTH = 16, 4, 0.5
 #: Overlapping n-grams repeat each other, so a word's log-likelihood counts by this share.
 TEMPER = 0.5
-ROUNDS, MOST_LANGUAGES, PENALTY = 8, 4, 3.0
+ROUNDS, PENALTY = 8, 3.0
 PIECE = 400_000
 _LETTER = regex.compile(r"\p{L}")
 
@@ -89,38 +94,54 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * len(n))).astype(np.float32)
 
 
+def word_likelihoods(cells: np.ndarray, words: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log-likelihoods (words x languages): sums over the n-grams that start in each word, a piece of words at a time."""
+    out, at = np.empty((len(words), logs.shape[1])), 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(words, words[at] + PIECE)))
+        end = words[to] if to < len(words) else len(cells)
+        out[at:to] = np.add.reduceat(logs[cells[words[at] : end]], words[at:to] - words[at])
+        at = to
+    return out
+
+
 def mixtures(word: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarray:
     """Proportions (texts x languages) of the best set, from words' log-likelihoods (words x languages)."""
     sizes = np.diff(np.append(starts, len(word)))
-    top = word.max(axis=1, keepdims=True)
-    like = np.exp(word - top)
+    like = np.exp(word - word.max(axis=1, keepdims=True))
     text = np.repeat(np.arange(len(starts)), sizes)
 
-    def fit(like: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(like: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions, their log-likelihood, and a bound on that of any mixture."""
         for _ in range(ROUNDS):
             own = like * share[text]
             share = np.add.reduceat(own / np.maximum(own.sum(axis=1, keepdims=True), 1e-300), starts) / sizes[:, None]
-        return share, np.add.reduceat(np.log(np.maximum((like * share[text]).sum(axis=1), 1e-300)), starts)
+        mixed = np.maximum((like * share[text]).sum(axis=1), 1e-300)
+        fitted = np.add.reduceat(np.log(mixed), starts)
+        # By concavity no mixture gains more than the steepest mean ratio of a language to this mixture.
+        steepest = (np.add.reduceat(like / mixed[:, None], starts) / sizes[:, None]).max(axis=1)
+        return share, fitted, fitted + sizes * np.log(np.maximum(steepest, 1))
 
     langs = word.shape[1]
-    share, _ = fit(like, text, starts, sizes, np.full((len(starts), langs), 1 / langs))
+    share, _, most = fit(like, text, starts, sizes, np.full((len(starts), langs), 1 / langs))
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best = (rank == 0).astype(float)
-    mixed = np.flatnonzero(share.max(axis=1) < 0.98)  # for the rest one language is the best set
-    if langs == 1 or not len(mixed):
-        return best
-    of = np.isin(text, mixed)
-    like, sizes = like[of], sizes[mixed]
-    starts = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(mixed)), sizes)
-    value = np.full(len(mixed), -np.inf)
-    for k in range(1, min(langs, MOST_LANGUAGES) + 1):
-        part = share[mixed] * (rank[mixed] < k)
-        part, fitted = fit(like, text, starts, sizes, part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300))
-        fitted = fitted - penalty * k * np.log(sizes + 1)
-        better = fitted > value
-        value[better] = fitted[better]
-        best[mixed[better]] = part[better]
+    best, price = (rank == 0).astype(float), penalty * np.log(sizes + 1)
+    first = rank.argmin(axis=1)
+    value = np.add.reduceat(np.log(np.maximum(like[np.arange(len(like)), first[text]], 1e-300)), starts) - price
+    open_ = np.arange(len(starts))
+    for k in range(2, langs + 1):
+        open_ = open_[most[open_] - k * price[open_] > value[open_]]
+        if not len(open_):
+            break
+        of = np.isin(text, open_)
+        own_sizes = sizes[open_]
+        own_starts = np.cumsum(own_sizes) - own_sizes
+        part = share[open_] * (rank[open_] < k)
+        part, fitted, _ = fit(like[of], np.repeat(np.arange(len(open_)), own_sizes), own_starts, own_sizes, part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300))
+        fitted = fitted - k * price[open_]
+        better = fitted > value[open_]
+        value[open_[better]] = fitted[better]
+        best[open_[better]] = part[better]
     return best
 
 
@@ -136,7 +157,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str =
             for _, part in pieces(texts):
                 if langs:
                     cells, words, starts = cells_of(part)
-                    share = mixtures(np.add.reduceat(logs[cells], words).astype(np.float64) * TEMPER, starts, penalty)
+                    share = mixtures(word_likelihoods(cells, words, logs) * TEMPER, starts, penalty)
                 for i, t in enumerate(part):
                     if not langs or not _LETTER.search(t):
                         rows.append(("und", 0.0, [], []))
