@@ -98,7 +98,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if radius % 2:
         raise ValueError("radius must be even: it is met halfway")
     fps = materialise(fingerprints(docs, id_col, text_col, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    spark = docs.sparkSession
+    # Dealt out again: the distinct fingerprints are few bytes, which Spark would leave to a few tasks, but each makes a ball of variants.
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
     masks = F.array(*(F.lit(m) for m in ball(64, radius // 2)))
     sent = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     met = sent.groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
