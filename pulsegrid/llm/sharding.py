@@ -7,9 +7,16 @@ another: the places are a uniform random order of all records. Equal cuts of it
 are the shards, so their row counts are at most one apart (law ``rows``).
 
 The order depends on the records, the seed and the bucket count alone, so a task
-that runs again gives the same rows. Defined cases: a null text has no bytes;
-null ids hash as any value; repeated rows are interchangeable; input columns
-named shard or slot are replaced; an empty table gives an empty one.
+that runs again gives the same rows. Where more than HOT rows have one id and
+text, they would all lie in one bucket: the records are then written as a table
+with row numbers, which scatter those rows over all buckets; as they differ in
+nothing that is hashed, only their number in each bucket depends on the layout
+of the input.
+
+Defined cases: a null text has no bytes; null ids hash as any value; repeated
+rows are interchangeable; a text of any length is one record, and a bucket holds
+one at least; input columns named shard or slot are replaced, others may have
+any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,26 +28,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import table, text_bytes_total
+from ._common import materialise, table, text_bytes_total
 
 SEED, SHARDS = 20240, 8
 BUCKET_BYTES, LEAST_BUCKETS = 48_000_000, 24
 #: Buckets whose offsets may be broadcast: 16 bytes each.
 BROADCAST_BUCKETS = 200_000
+#: Rows of one id and text that may share a bucket.
+HOT = 1_000
 
 
 def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scattered(marked: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """marked with its bucket: by mark, and by row number too where a mark has more than hot rows."""
+    often = marked.groupBy("mark").count().where(F.col("count") > hot).select(F.col("mark").alias("hot"))
+    if often.isEmpty():
+        return marked.select(F.pmod("mark", F.lit(buckets)).cast("int").alias("bucket"), "*")
+    stored, often = materialise(marked.withColumn("no", F.monotonically_increasing_id())), materialise(often)
+    few = F.broadcast if often.count() <= BROADCAST_BUCKETS else lambda df: df
+    dealt = F.when(F.col("hot").isNotNull(), F.xxhash64("mark", "no")).otherwise(F.col("mark"))
+    return stored.join(few(often), stored.mark == often.hot, "left").select(F.pmod(dealt, F.lit(buckets)).cast("int").alias("bucket"), *marked.columns)
+
+
+def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """df's columns, and shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     df = df.drop("shard", "slot")
     buckets = LEAST_BUCKETS + text_bytes_total(df, text_col) // bucket_bytes
     mark = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     own = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)])
     marked = df.select(mark.alias("mark"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(df.schema.fields)))
-    marked = marked.select(F.pmod("mark", F.lit(buckets)).cast("int").alias("bucket"), "*")
+    marked = scattered(marked, buckets, hot)
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), *own.fields, T.StructField("place", T.LongType())])
 
     def mixed(key: tuple, rows: pa.Table) -> pa.Table:
