@@ -12,8 +12,14 @@ Targets: sources in the order of code points, null last, weigh 1, 2, 3, 1, ...
 They share the whole number of words; what would exceed three times a source's
 words is shared again among the others by weight.
 
+Targets rank the sources in one task: it holds a row for each source, not for
+each document.
+
 Defined cases: a null text has size 0 and takes 0; a source without words has
-target 0; repeated rows with equal id and text are ranked in the order they come.
+target 0; repeated rows with equal id and text are interchangeable, and where
+they are more than HOT, which of them are taken depends on the layout of the
+input; a text of any length is one document of one length; an empty table gives
+an empty one; columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from ._common import WORD, materialise, table
 SEED, MOST = 9, 3
 #: Words that the last knapsack may move, and rows that one cell is meant to hold.
 WINDOW, CELL = 16_384, 4_096
-#: Rows of a plan that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of a plan that may be broadcast, and of one id and text that may be ranked in one cell.
+BROADCAST_ROWS, HOT = 200_000, 1_000
 
 
 def size_of(text: Column) -> Column:
@@ -120,10 +126,27 @@ def length_plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     return lengths.join(targets, lengths.source.eqNullSafe(targets.source)).drop(targets.source).groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, mark, times): how often the mix takes each row; mark tells rows with equal ids apart by their texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mark"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: dict[str, str], hot: int) -> DataFrame:
+    """A table of rows with a row number, size and mark, and the columns of carry under its names.
+
+    A mark is a seeded hash of id and text. Where more than hot rows have one, it
+    takes in the row number, or they would all be ranked in one task.
+    """
+    mark = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    rows = docs.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).cast("long").alias("doc_id"), size_of(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), mark.alias("mark"), *(F.col(f"`{c}`").alias(n) for n, c in carry.items()))
     rows = materialise(rows)
+    often = rows.groupBy("mark").count().where(F.col("count") > hot).select(F.col("mark").alias("hot"))
+    if often.isEmpty():
+        return rows
+    often = materialise(often)
+    few = F.broadcast if often.count() <= BROADCAST_ROWS else lambda df: df
+    mark = F.when(F.col("hot").isNotNull(), F.xxhash64("mark", "no")).otherwise(F.col("mark"))
+    return rows.join(few(often), rows.mark == often.hot, "left").withColumn("mark", mark).drop("hot")
+
+
+def selection(rows: DataFrame) -> DataFrame:
+    """(no, doc_id, size, source, source_size, target, mark, times) of numbered rows."""
+    rows = rows.select("no", "doc_id", "size", "source", "mark")
     lengths = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     plan = materialise(length_plan(lengths, targets).withColumn("cells", F.expr(f"1 + n div {CELL}")))
@@ -138,23 +161,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.withColumn("before", before).withColumnsRenamed({k: f"c_{k}" for k in (*key, "cell")})
     out = rows.join(cells, rows.source.eqNullSafe(F.col("c_source")) & (rows.size == F.col("c_size")) & (rows.cell == F.col("c_cell")), "left").drop("c_source", "c_size", "c_cell")
     ends = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("held") > F.col("extra"))
-    ranked = out.where(ends).withColumn("rank", F.row_number().over(Window.partitionBy(*key, "cell").orderBy("mark", "doc_id")))
+    ranked = out.where(ends).withColumn("rank", F.row_number().over(Window.partitionBy(*key, "cell").orderBy("mark", "doc_id", "no")))
     ranked = ranked.withColumn("once", (F.col("rank") + F.col("before") <= F.col("extra")).cast("long")).drop("rank")
     rest = out.where(~F.coalesce(ends, F.lit(False))).withColumn("once", F.when(F.col("cell").isNull(), (F.col("extra") > 0).cast("long")).otherwise((F.col("before") < F.col("extra")).cast("long")))
     both = ranked.unionByName(rest)
-    return both.select("doc_id", "size", "source", "source_size", "target", "mark", F.when(F.col("size") > 0, F.col("whole") + F.col("once")).otherwise(0).alias("times"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken."""
-    got = mix(docs, id_col, text_col, source_col, seed).groupBy("doc_id", "mark").agg(F.sum("times").alias("m_times"), F.count("*").alias("m_rows")).where("m_times > 0")
-    got = got.select(F.col("doc_id").alias("m_id"), F.col("mark").alias("m_mark"), "m_times", "m_rows")
-    marked = docs.withColumn("m_own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    out = marked.join(got, F.col(id_col).cast("long").eqNullSafe(F.col("m_id")) & (F.col("m_own") == F.col("m_mark")))
-    # Rows equal in id and text share what they were given.
-    own = F.row_number().over(Window.partitionBy("m_id", "m_mark").orderBy("m_times"))
-    times = F.expr("m_times div m_rows") + (F.col("m_row") <= F.col("m_times") % F.col("m_rows")).cast("long")
-    return out.withColumn("m_row", own).withColumn("m_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return both.select("no", "doc_id", "size", "source", "source_size", "target", "mark", F.when(F.col("size") > 0, F.col("whole") + F.col("once")).otherwise(0).alias("times"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """(no, doc_id, size, source, source_size, target, mark, times): how often the mix takes each row."""
+    return selection(numbered(docs, id_col, text_col, source_col, seed, {}, hot))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken; columns may have any names."""
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    rows = numbered(docs, id_col, text_col, source_col, seed, names, hot)
+    taken = selection(rows).where("times > 0").select("no", "times")
+    out = rows.select("no", *names).join(taken, "no")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

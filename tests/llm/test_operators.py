@@ -50,6 +50,10 @@ def want(f):
     return sorted((((r[0] is None, r[0] or 0), *f(r)) for r in corpus()), key=str)
 
 
+def by_rows(rows):
+    return sorted(rows, key=str)
+
+
 def split(t):
     return (t or "").encode().split()
 
@@ -235,10 +239,51 @@ def test_language(docs, none):
     assert sum(right) / len(right) > 0.95 and got[0]["source"] == "s0"
     both = langid.mixtures(np.log(np.array([[0.9, 0.1]] * 30 + [[0.1, 0.9]] * 10)) * 20, np.array([0]), 3.0)
     assert abs(both[0, 0] - 0.75) < 0.01
+    even = langid.mixtures(np.log(np.kron(np.eye(6), np.ones((80, 1))) + 0.01), np.array([0]), 3.0)
+    assert np.allclose(even, 1 / 6, atol=0.01)  # six languages, none left out
     assert langid.identify(docs, [], np.zeros((1, 0))).where("lang_pred != 'und'").count() == 0
     assert langid.identify(none, *langid.train_fold(none)).count() == 0
 
 
+def test_language_mixtures():
+    """Proportions and the choice of the set against a plain loop over all nested sets, a word at a time."""
+    rng = np.random.default_rng(5)
+    for langs in (1, 2, 5, 9):
+        for n in (1, 3, 30, 200):
+            word = rng.normal(size=(n, langs)) * 3
+            word[: n // 2, 0] += 4
+            like = [[np.exp(x - max(w)) for x in w] for w in word]
+
+            def em(share, like=like, n=n, langs=langs):
+                for _ in range(langid.ROUNDS):
+                    total = [0.0] * langs
+                    for w in like:
+                        whole = max(sum(x * s for x, s in zip(w, share, strict=True)), 1e-300)
+                        total = [t + x * s / whole for t, x, s in zip(total, w, share, strict=True)]
+                    share = [t / n for t in total]
+                return share, sum(np.log(max(sum(x * s for x, s in zip(w, share, strict=True)), 1e-300)) for w in like)
+
+            share, _ = em([1 / langs] * langs)
+            order = sorted(range(langs), key=lambda i: (-share[i], i))
+            sets = []
+            for k in range(1, langs + 1):
+                part = [share[i] if i in order[:k] else 0.0 for i in range(langs)]
+                part, fitted = em([x / sum(part) for x in part])
+                sets.append((fitted - 1.0 * k * np.log(n + 1), -k, part))
+            assert np.allclose(langid.mixtures(word, np.array([0]), 1.0)[0], max(sets)[2], atol=1e-9)
+    cells, words = rng.integers(0, 50, 3000), np.arange(0, 3000, 7)
+    logs = rng.normal(size=(50, 3))
+    whole = langid.word_likelihoods(cells, words, logs)
+    assert np.allclose(whole, np.add.reduceat(logs[cells], words))
+
+
+def test_op7_columns(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = langid.op7_language_id(spark, str(tmp_path)).collect()
+    assert by_rows((r["doc_id"], r["held_out"]) for r in out) == by_rows((r[0], zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 4 == 2) for r in corpus())
+    assert {r["lang_pred"] for r in out} == {"en", "fr", "und"} and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_fingerprint(spark, docs, none):
     rows = sorted(corpus(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     nexts = [(r[0], r[1] or "", rows[(i + 1) % len(rows)][1] or "") for i, r in enumerate(rows)]
@@ -334,8 +379,26 @@ def test_mixing(docs, none):
         left -= sum(3 * size[s] for s in over)
         free = [s for s in free if s not in over]
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in size if s != "s0" and size[s] > 300), (taken, target)
-    assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, got))
+    rows_of = lambda rows: sorted(str([r[c] for c in ("doc_id", "size", "source", "target", "mark", "times")]) for r in rows)
+    assert rows_of(mixing.mix(docs.repartition(5)).collect()) == rows_of(got)
     assert mixing.mixed_documents(docs).count() == sum(r["times"] for r in got) and mixing.mix(none).count() == 0
+    assert mixing.mixed_documents(none).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "source", "lang m_own", "n_chars m_times", "lang no", "source size", "n_chars c0")
+    taken = mixing.mixed_documents(clash)
+    assert taken.columns == clash.columns
+    assert sorted(map(str, taken.distinct().collect())) == sorted({str(r) for r in clash.collect() if r["text"] and r["text"].split()} & set(map(str, taken.collect()))) and taken.count() == sum(r["times"] for r in got)
+
+
+def test_mixing_hot(spark):
+    """Rows of one id and text, a third of all, are taken as others are."""
+    rows = [(i if i % 3 else 0, "one two three" if i % 3 == 0 else " ".join(["w"] * (i % 7 + 1)), "a" if i % 2 else "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for hot in (1_000, 50):
+        got = mixing.mix(df, hot=hot).collect()
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += r["times"] * r["size"]
+        assert len(got) == 900 and all(abs(taken[r["source"]] - r["target"]) <= 3 for r in got)
 
 
 def test_fill():
@@ -363,6 +426,25 @@ def test_sharding(docs, none):
     assert sharding.shuffle_into_shards(none).count() == 0
 
 
+def test_sharding_hot(spark):
+    """Rows of one id and text, a third of all, don't share a bucket; slots stay gapless."""
+    df = spark.createDataFrame([(0 if i % 3 == 0 else i, "same" if i % 3 == 0 else f"t{i}") for i in range(3000)], "doc_id long, text string")
+    got = sharding.shuffle_into_shards(df, hot=100).collect()
+    for s in range(8):
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own))) and len(own) == 375
+    assert sum(r["text"] == "same" for r in got) == 1000
+    dealt = sharding.scattered(df.select(F.xxhash64("doc_id", "text").alias("mark"), "doc_id"), 24, 100).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert dealt < 220
+
+
+def test_op10_columns(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    assert by_rows((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == by_rows((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus())
+    assert {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)}
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16))
