@@ -9,7 +9,7 @@ chances for bytes never seen. Every byte seen after a context gives half a count
 escape.
 
 The model is whole and stays distributed: it is cut into parts by the last two
-bytes of contexts, and each part works out the cost of every run that any text
+bytes of contexts, frequent pairs by a third, and each part works out the cost of every run that any text
 has. Broadcast is only a cache: the costs of the most frequent runs, at most
 ``runs``. All other runs are looked up by a shuffle, as rare words are, so scores do not
 depend on ``runs``.
@@ -23,7 +23,9 @@ grows with one word.
 Defined cases: a null text is empty: one end token, and the model's end mark
 after the start. A null id counts as empty text in the fold, so it is held out.
 Repeated rows are scored each. Without training texts all bytes are equally
-likely, and words have the smoothing count alone.
+likely, and words have the smoothing count alone. A text of any length is one
+row; it is read as one piece, a few arrays of its length. An empty table gives
+an empty one. Only the id and text columns are read, under names of their own.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, deflate, inflate, materialise, table, text_bytes, text_bytes_total
+from ._common import crc_mod, deflate, inflate, map_batches, materialise, table, text_bytes, text_bytes_total
 
 ORDER = 5
 #: Marks that UTF-8 never has.
@@ -117,7 +119,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
         if held:
             yield from rows(*merged())
 
-    counted = docs.select("t", "held_out").mapInArrow(count, "run long, n long, every long")
+    counted = map_batches(docs.select("t", "held_out"), count, "run long, n long, every long")
     return counted.groupBy("run").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
@@ -222,26 +224,45 @@ class Costs:
         return out
 
 
-def run_costs(counted: DataFrame) -> DataFrame:
+def run_costs(counted: DataFrame, part_runs: int = PART) -> DataFrame:
     """(run, every, cost) of each run that any text has, by the whole model.
 
     A part holds all contexts that end in the same two bytes, so it has
     whatever its runs back off to, but for contexts of one byte and none: those
-    are at most 256 * 257 runs, which all parts get.
+    are at most 256 * 257 runs, which all parts get. The contexts of two bytes
+    that have more runs than a part is meant to hold are parted by a third byte;
+    each of their parts gets the followers of the two bytes, at most 256 of each.
     """
     spark = counted.sparkSession
-    parts = 12 + counted.count() // PART
-    short = counted.where("n > 0").groupBy(F.col("run").bitwiseAND(F.lit(0xFFFF)).alias("run")).agg(F.sum("n").alias("n")).toArrow()
-    short = spark.sparkContext.broadcast(levels_of(*(c.to_numpy() for c in short.cast(RUN_COUNT).columns), range(2)))
+    parts = 12 + counted.count() // part_runs
+    pair = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFF))
+    hot = sorted(r["pair"] for r in counted.groupBy(pair.alias("pair")).count().where(F.col("count") > part_runs).collect())  # of 65536 pairs
+
+    def sums(rows: DataFrame, mask: int, orders: range) -> tuple[list, list]:
+        got = rows.where("n > 0").groupBy(F.col("run").bitwiseAND(F.lit(mask)).alias("run")).agg(F.sum("n").alias("n")).toArrow()
+        return levels_of(*(c.to_numpy() for c in got.cast(RUN_COUNT).columns), orders)
+
+    short = spark.sparkContext.broadcast(sums(counted, 0xFFFF, range(2)))
+    hot_pairs = spark.sparkContext.broadcast((np.array(hot, np.uint64), sums(counted.where(pair.isin(hot)), 0xFFFFFF, range(2, 3)) if hot else None))
 
     def cost(rows: pa.Table) -> pa.Table:
         runs, n = rows.column("run").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-        known = levels_of(runs[n > 0], n[n > 0], range(2, ORDER + 1))
-        trie = Trie(*(a + b for a, b in zip(short.value, known, strict=True)))
+        split, followers = hot_pairs.value
+        learned, n = runs[n > 0], n[n > 0]
+        own = (learned >> np.uint64(8)) & np.uint64(0xFFFF)
+        whole = ~np.isin(own, split)
+        second = levels_of(learned[whole], n[whole], range(2, 3))
+        if not whole.all():
+            present = np.unique(own[~whole])
+            kept = [[(k[m], c[m]) for k, c in level for m in [np.isin(k >> np.uint64(shift), present)]] for level, shift in zip(followers, (8, 0), strict=True)]
+            second = tuple([tuple(x[order] for x in both)] for mine, more in zip(second, kept, strict=True) for both in [[np.concatenate(x) for x in zip(mine[0], more[0], strict=True)]] for order in [np.argsort(both[0])])
+        longer = levels_of(learned, n, range(3, ORDER + 1))
+        trie = Trie(*(a + b + c for a, b, c in zip(short.value, second, longer, strict=True)))
         return pa.table({"run": rows.column("run"), "every": rows.column("every"), "cost": trie.log10(runs)})
 
-    part = F.pmod(F.xxhash64(F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts))
-    return counted.withColumn("part", part).groupBy("part").applyInArrow(cost, "run long, every long, cost double")
+    triple = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFFFF))
+    place = F.when(pair.isin(hot), F.xxhash64(triple)).otherwise(F.xxhash64(pair)) if hot else F.xxhash64(pair)
+    return counted.withColumn("part", F.pmod(place, F.lit(parts))).groupBy("part").applyInArrow(cost, "run long, every long, cost double")
 
 
 def frequent(costs: DataFrame, runs: int) -> int:
@@ -283,7 +304,7 @@ def cost_messages(cold: DataFrame, shards: int) -> DataFrame:
                 own = shard == s
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([deflate(x)], pa.binary()) for x in (np.diff(runs[own], prepend=np.uint64(0)), costs[own]))], ["shard", "runs", "costs"])
 
-    return cold.select("run", "cost").mapInArrow(pack, "shard int, runs binary, costs binary")
+    return map_batches(cold.select("run", "cost"), pack, "shard int, runs binary, costs binary")
 
 
 def shard_of(word: bytes, shards: int) -> int:
@@ -333,17 +354,17 @@ def word_counts(docs: DataFrame, shards: int, hot: int) -> tuple[int, int, dict[
         found = [w for w, n in every.items() if n >= hot]
         return pa.table({"words": [sum(learned.values())], "distinct": [len(learned)], "hot": pa.array([found], pa.list_(pa.binary())), "n": pa.array([[learned[w] for w in found]], pa.list_(pa.int64()))})
 
-    got = docs.select("t", "held_out").mapInArrow(count, "shard int, words binary, every binary, learned binary").groupBy("shard").applyInArrow(add, "words long, distinct long, hot array<binary>, n array<long>")
+    got = map_batches(docs.select("t", "held_out"), count, "shard int, words binary, every binary, learned binary").groupBy("shard").applyInArrow(add, "words long, distinct long, hot array<binary>, n array<long>")
     rows = got.collect()  # a row for each shard; at most all words / hot of them are hot
     return sum(r["words"] for r in rows), sum(r["distinct"] for r in rows), {bytes(w): n for r in rows for w, n in zip(r["hot"], r["n"], strict=True)}
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, runs: int = RUNS, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, runs: int = RUNS, hot: int = HOT, part_runs: int = PART) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from rows outside fold 0, log10 probabilities of all."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     docs = docs.withColumn("held_out", crc_mod(F.col("id"), folds) == 0)
     spark, size = docs.sparkSession, text_bytes_total(docs, "t")
-    costs = materialise(run_costs(materialise(count_runs(docs))))
+    costs = materialise(run_costs(materialise(count_runs(docs)), part_runs))
     often = frequent(costs, runs)
     top = costs.where(F.col("every") >= often).select("run", "cost").toArrow()  # at most `runs` rows
     model, name = spark.sparkContext.broadcast((top.column("run").to_numpy().view(np.uint64), top.column("cost").to_numpy())), uuid4().hex
@@ -457,7 +478,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rare = pa.table({c: {"message": message, "doc": doc, "score": score}.get(c, pa.nulls(len(doc), t)) for c, t in zip(first.column_names, first.schema.types, strict=True)})
         return pa.concat_tables([first, rest, rare])
 
-    asked = docs.mapInArrow(ask, "shard int, message long, words binary, seen binary, of binary, doc binary, times binary, runs binary, run_of binary, run_doc binary, about array<struct<doc:long,id:long,held_out:boolean,tokens:long,known:long,gain:double,score:double>>")
+    asked = map_batches(docs, ask, "shard int, message long, words binary, seen binary, of binary, doc binary, times binary, runs binary, run_of binary, run_doc binary, about array<struct<doc:long,id:long,held_out:boolean,tokens:long,known:long,gain:double,score:double>>")
     asked = asked.unionByName(cost_messages(costs.where(F.col("every") < often), shards), allowMissingColumns=True)
     parts = asked.groupBy("shard").applyInArrow(answer, "message long, doc long, id long, held_out boolean, tokens long, known long, gain double, score double")
     got = parts.groupBy("message", "doc").agg(F.max("id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("gain").alias("gain"), F.sum("score").alias("score"))

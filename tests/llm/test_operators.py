@@ -202,8 +202,8 @@ def test_lm(spark, docs, none):
         m = marked(r)
         return (round(sum(log10(chance(m[i - lm.ORDER : i], m[i])) for i in range(lm.ORDER, len(m))), 6),)
 
-    for runs in (1 << 20, 100, 0):
-        got = lm.score_documents(docs, runs=runs).withColumn("s", F.round("score", 6))
+    for options in ({}, {"runs": 100}, {"runs": 0}, {"part_runs": 40}):  # the last parts frequent pairs by a third byte
+        got = lm.score_documents(docs, **options).withColumn("s", F.round("score", 6))
         assert by_id(got, "s") == want(ppm)
     for context in (b"", b"the", b"s an ", b"zzzzz"):
         assert abs(sum(chance(context, x) for x in range(256) if x != lm.START) - 1) < 1e-9
