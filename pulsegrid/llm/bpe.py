@@ -17,8 +17,10 @@ tokenizers library's own normaliser and pre-tokeniser. The library never
 encodes here; tests compare with it.
 
 Defined cases: a null text is empty: no tokens, empty decoded text. Special
-tokens that occur in a text are encoded as such. Repeated rows stay. Only the
-id and text columns are read.
+tokens that occur in a text are encoded as such. Repeated rows stay. A text of
+any length is encoded whole, word by word, so memory follows the text and its
+tokens. An empty table gives an empty one. Only the id and text columns are
+read, under names of their own.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import table
+from ._common import map_batches, table
 
 #: Words whose tokens a worker remembers, and the longest that it does.
 MEMO, MEMO_CHARS = 250_000, 48
@@ -235,7 +237,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             columns = [b.column("id")] + [pa.array(own, pa.list_(pa.int32()))] * ids + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, ", ".join(fields))
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, ", ".join(fields))
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,7 +251,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id",
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)).decode() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")), run, "doc_id long, text string")
 
 
 def default_tokenizer() -> str:
