@@ -476,6 +476,35 @@ def test_embedding_dense_group(spark):
         assert got == {i: int(x) - 1 for i, x in enumerate(like.sum(axis=1))}
 
 
+def test_embedding_recall(spark):
+    """Pairs at given cosines among vectors spread evenly over 64 dimensions: 0.99 or more are found, whatever number of pivots there is; none below the limit is."""
+    rng = np.random.default_rng(3)
+    n = 1000
+    for cosine, pivots in ((0.931, 128), (0.931, 1024), (0.96, 2048), (0.9, 128)):
+        v = rng.normal(size=(2 * n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        off = rng.normal(size=(n, 64))
+        off -= (off * v[:n]).sum(axis=1, keepdims=True) * v[:n]
+        v[n:] = cosine * v[:n] + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+        got = embedding.link_vectors(df, pivots=pivots).collect()
+        found, all_links = sum(r["n_links"] for r in got), int((v @ v.T >= embedding.COSINE).sum()) - 2 * n
+        assert 0.99 * all_links <= found <= all_links and (all_links > 0) == (cosine > 0.93)
+
+
+def test_embedding_candidates():
+    """Each pair that shares two pivots or more comes once, in the list of the first: by the product, and through the lists within the list."""
+    rng = np.random.default_rng(4)
+    for pivots, spread in ((12, 12), (2000, 9)):
+        base = np.repeat(rng.integers(0, pivots - spread + 1, 40), 3)
+        perms = np.array([np.append(0, rng.choice(np.arange(max(1, b), b + spread), 6, replace=False)) for b in base])
+        for a, c in ((np.arange(120), np.arange(120)), (np.arange(50), np.arange(50, 120))):
+            want = {(x, y) for x in a.tolist() for y in c.tolist() if (x < y or len(a) < 100) and len(set(perms[x]) & set(perms[y])) >= 2}
+            got = [p for x, y in embedding.shared_pairs(0, perms, a, c) for p in zip(x.tolist(), y.tolist(), strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+            assert not [p for x, y in embedding.shared_pairs(pivots + 1, perms, a, c) for p in x]
+
+
 def test_license(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "plain text"), (3, "a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\nother words here"), (4, "d/z.py", "nothing of that"), (5, None, None), (6, "a/w", ""), (7, "e/LICENSE", "All rights reserved."), (8, "e/f/g", "text\nthe general public reads the terms")]
     got = {r["id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
