@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, embedding, fingerprint, langid, license, lm, mixing, sharding, simhash, substring
+from pulsegrid.llm import bpe, embedding, fingerprint, langid, license, license_templates, lm, mixing, sharding, simhash, substring
 from pulsegrid.llm._common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -511,6 +513,74 @@ def test_license(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, None, None), 5: (None, None, None), 6: (None, "MIT", "a"), 7: ("Proprietary", "Proprietary", None), 8: (None, "Proprietary", "e")}
 
 
+def wrapped(text: str, width: int, mark: str = "") -> str:
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_license_files(spark):
+    """Whole licences, and heads of long ones, make licence files by any name; a header never does, however short the code is."""
+    of = {(name, kind): text for name, kind, text in license_templates.TEMPLATES}
+    tail = wrapped("and so on with many more words about conditions of conveying modified source versions " * 40, 70)
+    files = {n: f"Copyright (c) 2020 Some One\n\n{wrapped(of[n, 'text'], 74)}" for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    files |= {n: f"{wrapped(of[n, 'head'], 70)}\n\n{tail}" for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")}
+    rows = [(i, f"d{i}/TERMS", t) for i, t in enumerate(files.values())]
+    system = Path("/usr/share/common-licenses")
+    named = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+    found = [(p, n) for p, n in named.items() if (system / p).exists()]
+    rows += [(100 + i, f"s{i}/COPYING.txt", (system / p).read_text()) for i, (p, _) in enumerate(found)]
+    headers = [(n, k, t) for n, k, t in license_templates.TEMPLATES if k == "notice"]
+    rows += [(200 + i, f"h{i}/x.py", wrapped(t, 60, "# ") + "\n\nrun()") for i, (_, _, t) in enumerate(headers)]
+    rows += [(300 + i, f"h{i}/sub/y.py", "no licence here") for i in range(len(headers))]
+    rows += [(400, "d0/sub/z", "code"), (401, "q/x.js", "/*\n" + wrapped(of["MIT", "text"], 70, " * ") + "\n */\n" + "let value = compute(other, thing);\n" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)
+    got = {r["id"]: r for r in license.scan_licenses(df, "doc_id", "path", "text").collect()}
+    assert [(got[i]["own_license"], got[i]["is_license_file"]) for i in range(len(files))] == [(n, True) for n in files]
+    assert [(got[100 + i]["own_license"], got[100 + i]["is_license_file"]) for i in range(len(found))] == [(n, True) for _, n in found]
+    assert [(got[200 + i]["own_license"], got[200 + i]["is_license_file"]) for i in range(len(headers))] == [(n, False) for n, _, _ in headers]
+    assert all(got[300 + i]["license"] is None for i in range(len(headers)))
+    assert (got[400]["license"], got[400]["inherited_from"]) == ("MIT", "d0") and (got[401]["own_license"], got[401]["is_license_file"]) == ("MIT", False)
+    assert max(max(u.values()) for u in license.fitted(license.TEMPLATES, license.LEAST)[0]) < license.LEAST  # no single word is enough
+
+
+def test_license_brute(spark, none):
+    """Scores of all stretches by plain TF-IDF over nulls, ties, repeats, very long texts and clashing columns."""
+    rng = random.Random(6)
+    notices = [t for _, k, t in license_templates.TEMPLATES if k != "text"]
+    texts = [None, "", "\n\n", "mit", "license " * 30000, "\n".join(["Released under the MIT License."] * 3)]
+    for i in range(40):
+        words = rng.choice(notices).split()[:60]
+        for _ in range(rng.randint(0, len(words) // 2)):
+            words.insert(rng.randrange(len(words)), rng.choice(["the", "software", "zq", "license", "of"]))
+        lines = [" ".join(words[j : j + 9]) for j in range(0, len(words), 9)]
+        texts += ["\n".join(["some words"] * (i % 3) + lines)] * (1 + i % 2)
+    units, idf, other, anchors = license.fitted(license.TEMPLATES, license.LEAST)
+    names = [n for n, _, _ in license.TEMPLATES]
+
+    def best(t):
+        c = Counter(license.terms_of(t))
+        length = sum((n * idf.get(w, other)) ** 2 for w, n in c.items()) ** 0.5
+        return max(((round(sum(n * idf[w] * u.get(w, 0) for w, n in c.items() if w in idf) / length, 9) if length else 0.0), n) for u, n in zip(units, names, strict=True))
+
+    def brute(t):
+        lines, most = (t or "").split("\n"), (False, 0.0, None)
+        for i, line in enumerate(lines):
+            if set(license.terms_of(line)) & set(anchors):
+                for k in (1, 2, 4, 8, 16, 32):
+                    if k == 1 or i + k / 2 < len(lines):
+                        score, name = best("\n".join(lines[i : i + k]))
+                        if score >= license.LEAST and (name != license.RESERVED, score) > (most[0], most[1] + 1e-9):
+                            most = (name != license.RESERVED, score, i)
+        return most[1:]
+
+    df = spark.createDataFrame([(i % 7 if i % 5 else None, f"p{i}", t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, file string, text string, license string, score double")
+    got = {r["path"]: r for r in license.scan_licenses(df, "doc_id", "file", "text").collect()}
+    assert len(got) == len(texts) and license.scan_licenses(none, "doc_id", "source", "text").count() == 0
+    for i, t in enumerate(texts):
+        score, line = brute(t)
+        assert abs((got[f"p{i}"]["score"] or 0) - score) < 1e-6 and got[f"p{i}"]["line"] == line, (t, got[f"p{i}"], score, line)
+    assert sum(r["own_license"] is not None for r in got.values()) > 20
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (5, 4), (4, 9), (7, 7), *((i, i + 1) for i in range(100, 140))]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
