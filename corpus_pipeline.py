@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe, langid, mixing, simhash, substring
-from pulsegrid.llm._common import materialise, table
+from pulsegrid.llm._common import discard, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,9 +21,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group whose 5-word shingles are alike by 0.8 or more."""
-    gone = simhash.near_duplicate_groups(docs).where("doc_id != group_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group whose 5-word shingles are alike by 0.8 or more: that of the smallest id, null last.
+
+    Rows have numbers of their own here, as ids may be null or repeated.
+    """
+    rows = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("no")))
+    groups = simhash.near_duplicate_groups(rows, "no").join(rows.select(F.col("no").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("first"))
+    gone = groups.join(first, "group_id").where("doc_id != first").select(F.col("doc_id").alias("no"))
+    return rows.join(gone, "no", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if i:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

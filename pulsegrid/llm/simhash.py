@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found by meet-in-the-middle ball hashing; near-duplicate groups by a prefix join.
+"""SimHash near-duplicates, found by meet-in-the-middle ball hashing, which a prefix join completes for a similarity threshold.
 
 Two fingerprints within r bits share a variant within r/2 bits of both. So
 each distinct fingerprint emits all its variants within r/2 bits, one shuffle
@@ -9,9 +9,13 @@ Two forms:
 * ``simhash_components``: one 64-bit fingerprint, linked at ``radius`` bits.
   A variant is shared by at most as many distinct fingerprints as a ball of
   radius r/2 has points (65 for r = 2), so no group grows with the data.
-* ``near_duplicate_groups``: for a similarity threshold, exact. Shingles have one
-  order for all texts, those often found in a sample last. Two sets of a Jaccard
-  of t or more share a shingle among the first n - ceil(t n) + 1 of each, so each
+* ``near_duplicate_groups``: for a similarity threshold, exact. Balls of the
+  fingerprints of shingle sets bring near-identical texts together first. But at
+  a Jaccard of 0.8 about 10 of 64 bits differ: balls of 5 bits have millions of
+  points, and short blocks of longer fingerprints lose pairs. So what balls of
+  one bit can't reach is found by a join of prefixes. Shingles have one order
+  for all texts, those often found in a sample last. Two sets of a Jaccard of t
+  or more share a shingle among the first n - ceil(t n) + 1 of each, so each
   distinct set is posted under these, and sets that meet under a shingle are
   compared unless their sizes or places rule a Jaccard of t out, or they are
   already in one component. That is done in rounds: each pairs a set with a
@@ -24,7 +28,9 @@ Defined cases: null and empty texts have fingerprint zero and link with each
 other (``near_duplicate_groups`` leaves them alone); fewer words than a shingle
 give one shingle of all words; equal texts have equal fingerprints; repeated
 rows stay repeated; a null id is never the smallest while its group has
-another. Only the id and text columns are read.
+another. A text of any length is hashed whole, its bits counted in pieces. An
+empty table gives an empty one. Only the id and text columns are read, under
+names of their own.
 """
 
 from __future__ import annotations
@@ -93,18 +99,23 @@ def ball(bits: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def ball_links(fps: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of distinct fingerprints fp that share a variant and differ in radius or fewer bits; the least of each variant's links with all others."""
+    masks = F.array(*(F.lit(m) for m in ball(64, radius // 2)))
+    # Dealt out again: distinct fingerprints are few bytes, which Spark would leave to a few tasks, but each makes a ball of variants.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    sent = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    met = sent.groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
+    return met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, radius))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): fingerprints, and the smallest id reachable by links of radius or fewer bits."""
     if radius % 2:
         raise ValueError("radius must be even: it is met halfway")
     fps = materialise(fingerprints(docs, id_col, text_col, shingle))
-    spark = docs.sparkSession
-    # Dealt out again: the distinct fingerprints are few bytes, which Spark would leave to a few tasks, but each makes a ball of variants.
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
-    masks = F.array(*(F.lit(m) for m in ball(64, radius // 2)))
-    sent = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = sent.groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
-    links = met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, radius))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    links = ball_links(distinct.select("fp"), radius)
     comp = connected_components(links)
     rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted)
@@ -133,13 +144,13 @@ def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, node, n, prefix): a hash of the shingle set, its size, and its first shingles; rows without words are left out."""
+    """(doc_id, node, fp, n, prefix): a hash and the fingerprint of the shingle set, its size, and its first shingles; rows without words are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            ids, nodes, sizes, firsts = [], [], [], []
+            ids, nodes, prints, sizes, firsts = [], [], [], [], []
             for i, t in enumerate(text_bytes(b, "t")):
                 h = distinct_shingles(t, shingle)
                 if len(h):
@@ -150,11 +161,12 @@ def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray
                     length = len(h) - ceil(least * len(h) - 1e-9) + 1
                     ids.append(i)
                     nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                    prints.append(np.packbits(majority(h.reshape(-1, 1)), bitorder="little").view(np.int64)[0])
                     sizes.append(len(h))
                     firsts.append(h[np.argsort(rank, kind="stable")[:length]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["doc_id", "node", "fp", "n", "prefix"])
 
-    return map_batches(docs, run, "doc_id long, node long, n int, prefix binary")
+    return map_batches(docs, run, "doc_id long, node long, fp long, n int, prefix binary")
 
 
 def postings(sets: DataFrame, parts: int) -> DataFrame:
@@ -237,6 +249,15 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_batches(got, run, "a long, b long")
 
 
+def near_identical(made: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or share a ball, not yet verified."""
+    nodes = made.select("node", "fp").distinct()
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = nodes.join(first, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}"))
+    return equal.union(ball_links(first.select("fp"), radius).distinct().join(of("a"), "a").join(of("b"), "b").select("na", "nb"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR, first: int = FIRST) -> DataFrame:
     """(doc_id, group_id) of rows that have another row of a similarity of least or more; group_id is the smallest id of the group.
 
@@ -246,13 +267,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     documents = docs.count()
     made = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)))
-    distinct = made.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("node", "x.*")
+    distinct = made.groupBy("node").agg(F.min(F.struct("doc_id", "fp", "n", "prefix")).alias("x")).select("node", "x.*")
     posted = materialise(postings(distinct, 1 + documents // PART_ROWS))
     meets = posted.select("node").distinct()
     carriers = made.select("node", "doc_id").join(meets, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     sets = materialise(shingle_sets(docs.join(carriers, "id"), shingle).dropDuplicates(["node"]))
     # Rows that share an id are one document.
     links = materialise(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
+    links = materialise(links.union(similar(near_identical(made), sets, least)))
     most = first
     while True:
         comp = materialise(connected_components(links))

@@ -588,12 +588,28 @@ def test_components(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Null and repeated ids included; each stage on its own input, and all of them."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    spark.createDataFrame([r for r in corpus() if r[0] is not None], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = stages["language_id"](spark, docs, "").collect()
-    assert {100, 101, 102, 103}.isdisjoint({r["doc_id"] for r in kept}) and len(kept) == len(corpus()) - 1 - 4
+    assert {100, 101, 102, 103}.isdisjoint({r["doc_id"] for r in kept}) and len(kept) == len(corpus()) - 4
     once = stages["simhash_near_dedup"](spark, docs, "")
-    assert 8 not in {r["doc_id"] for r in once.collect()} and once.columns == corpus_pipeline.COLUMNS
-    assert corpus_pipeline.run(spark, str(tmp_path)).where("n_tokens is null").count() == 0
+    rows = sorted(corpus(), key=lambda r: (r[0] is None, r[0] or 0))
+    groups = near_groups([r[1] or f"empty{i}" for i, r in enumerate(rows)])
+    expected = [r for i, r in enumerate(rows) if groups.get(i, i) == i]
+    assert by_rows(tuple(r) for r in once.collect()) == by_rows(expected) and once.columns == corpus_pipeline.COLUMNS and len(expected) < len(rows) - 3
+    cut = stages["substring_dedup"](spark, docs, "")
+    mine = {(r["doc_id"], r["text"]) for r in substring.dedup_substrings(docs).where("n_words = 0 or n_removed < n_words").collect()}
+    assert {(r["doc_id"], r["text"]) for r in cut.collect()} == mine and cut.columns == corpus_pipeline.COLUMNS
+    mixed = stages["mixing"](spark, docs, "")
+    assert mixed.count() == mixing.mix(docs).agg(F.sum("times")).first()[0] and mixed.columns == corpus_pipeline.COLUMNS
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.where("n_tokens is null").count() == 0 and whole.count() > 0
+    left = docs
+    for _, stage in corpus_pipeline.STAGES:
+        left = spark.createDataFrame(stage(spark, left, "").collect(), stage(spark, left, "").schema)
+    assert by_rows(map(str, whole.collect())) == by_rows(map(str, left.collect()))
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
