@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time as clock
 from datetime import date, datetime, timezone
+from decimal import Decimal
 from math import isinf, isnan
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,10 @@ def rendered(v):
 
 
 def number(v: float) -> str:
-    return "NaN" if isnan(v) else ("+Inf" if v > 0 else "-Inf") if isinf(v) else str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+    """Decimals, never an exponent."""
+    if isnan(v) or isinf(v):
+        return "NaN" if isnan(v) else "+Inf" if v > 0 else "-Inf"
+    return format(Decimal(repr(v)), "f").removesuffix(".0")
 
 
 def _metric(r) -> dict:
@@ -104,3 +108,14 @@ def matrix_json(v: DataFrame) -> dict:
 def error_json(e: Exception) -> tuple[int, dict]:
     bad = isinstance(e, BadQuery)
     return (400 if bad else 500), {"status": "error", "errorType": "bad_data" if bad else "internal", "error": str(e)}
+
+
+def plain_error_json(e: Exception, reading: bool = True) -> tuple[int, dict]:
+    """The error form of SQL (a statement that fails is the caller's matter) and of ingest (reading: of a body that can't be read, else of a store that can't be written)."""
+    return (400 if reading else 503), {"error": str(e)}
+
+
+def ingest_json(rows: DataFrame) -> dict:
+    """The answer to one request of validated rows: how many were accepted, and the rejects in order."""
+    bad = rows.where("reason is not null").select("index", "reason").orderBy("index").collect()
+    return {"accepted": rows.where("reason is null").count(), "rejected": [{"index": r["index"], "reason": r["reason"]} for r in bad]}

@@ -1,16 +1,21 @@
 """rate, irate, increase and delta over an evaluation grid.
 
-A sample lies in the windows (e - range, e] of the grid points lo to hi, found by
-integer arithmetic, so there is no range join. The step from a sample to the one
-before it depends on these two alone; it is computed once for each series, and a
-window counts it if it holds both. So there is one sort of the samples, and one
-aggregate of the exploded rows, whose partial sums combine before the shuffle.
-An instant query with its closed window is a grid of one point and a range longer
-by a microsecond.
+Window bounds of a grid, (e - range, e], cut time into panes as wide as the
+greatest common divisor of range and step. The step from a sample to the one
+before it depends on these two alone, so it is computed once for each series; a
+pane sums the steps within it and keeps its first and last sample, and a window
+combines panes: it counts the step into a pane if it holds the sample before. A
+pane lies in the windows of the grid points lo to hi, found by integer
+arithmetic, so there is no range join. Samples are sorted and shuffled once, by
+series; panes, windows and what each of them sums need no further shuffle, and
+only panes are repeated for overlapping windows. An instant query with its
+closed window is a grid of one point and a range longer by a microsecond.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,22 +36,33 @@ def on_grid(rows: DataFrame, start: int, step: int, points: int, range_us: int)
 
 def range_function(rows: DataFrame, function: str, start: int, step: int, points: int, range_us: int) -> DataFrame:
     """(series_id, ts_us, value) at each grid point, from samples of series."""
+    if points == 1:
+        rows = rows.where(F.col("ts_us").between(start - range_us + 1, start))
     order = Window.partitionBy("series_id").orderBy("ts_us", "value")
-    if function != "delta":
-        rows = rows.withColumn("before", F.lag("value").over(order)).withColumn("before_us", F.lag("ts_us").over(order))
-        rows = rows.withColumn("up", F.when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).otherwise(F.col("value")))
-    out = on_grid(rows, start, step, points, range_us)
-    key, at = ["series_id", "eval_us"], F.struct("ts_us", "value")
-    ends = [F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
-    inside = F.col("before_us") > F.col("eval_us") - range_us
-    span = (F.col("last_us") - F.col("first_us")).cast("double")
+    rows = rows.withColumn("before", F.lag("value").over(order)).withColumn("before_us", F.lag("ts_us").over(order))
+    rows = rows.withColumn("up", F.when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).otherwise(F.col("value")))
+    width = range_us if points == 1 else gcd(range_us, step)
+    # Panes end at start + k * width; a time on a bound belongs to the pane that ends there.
+    k = F.floor((F.col("ts_us") - start + (width - 1)) / F.lit(width).cast("decimal(20, 0)")).cast("long")
+    rows = rows.withColumn("pane_us", F.lit(start) + k * width)
+    # Of equal samples the first has the lesser sample before it.
+    sample, within = F.struct("ts_us", "value", "before_us", "before", "up"), F.col("before_us") > F.col("pane_us") - width
+    panes = rows.groupBy("series_id", "pane_us").agg(
+        F.count("*").alias("n"), F.sum(F.when(within, F.col("up"))).alias("inner"),
+        F.min(sample).alias("first"), F.max(sample).alias("last"),
+    )
+    out = on_grid(panes.withColumnRenamed("pane_us", "ts_us"), start, step, points, range_us - width + 1)
+    inside = F.col("first.before_us") > F.col("eval_us") - range_us
+    got = out.groupBy("series_id", "eval_us").agg(
+        F.sum("n").alias("n"), F.min_by("first", "ts_us").alias("first"), F.max_by("last", "ts_us").alias("last"),
+        F.coalesce(F.sum("inner"), F.lit(0.0)).alias("inner"), F.coalesce(F.sum(F.when(inside, F.col("first.up"))), F.lit(0.0)).alias("joints"),
+    )
+    span, up = (F.col("last.ts_us") - F.col("first.ts_us")).cast("double"), F.col("inner") + F.col("joints")
     if function == "delta":
-        got = out.groupBy(*key).agg(*ends, F.max_by("value", at).alias("last"), F.min_by("value", at).alias("first")).where("n >= 2")
-        value = F.col("last") - F.col("first")
+        got, value = got.where("n >= 2"), F.col("last.value") - F.col("first.value")
     elif function == "irate":
-        got = out.where(inside).groupBy(*key).agg(F.max(F.struct("ts_us", "value", "before_us", "up")).alias("s")).where("s.ts_us > s.before_us")
-        value = F.col("s.up") * 1e6 / (F.col("s.ts_us") - F.col("s.before_us")).cast("double")
+        got = got.where(f"last.before_us > eval_us - {range_us} and last.ts_us > last.before_us")
+        value = F.col("last.up") * 1e6 / (F.col("last.ts_us") - F.col("last.before_us")).cast("double")
     else:
-        got = out.groupBy(*key).agg(*ends, F.coalesce(F.sum(F.when(inside, F.col("up"))), F.lit(0.0)).alias("up")).where("n >= 2 and last_us > first_us")
-        value = F.col("up") * 1e6 / span if function == "rate" else F.col("up")
+        got, value = got.where("n >= 2 and last.ts_us > first.ts_us"), up * 1e6 / span if function == "rate" else up
     return got.select("series_id", F.col("eval_us").alias("ts_us"), value.alias("value")).where(finite(F.col("value")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import at_micros, micros
@@ -21,10 +23,19 @@ def matcher(m: Matcher) -> Column:
         return own != m.value
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", m.value):
         raise BadQuery(f"pattern {m.value!r} isn't linear")
+    legal_pattern(m.value)
     hit = own.rlike(f"\\A(?s:{m.value})\\z")
     return hit if m.op == "=~" else ~hit
 
 
+def legal_pattern(pattern: str) -> None:
+    """Refuses, on the driver, what the executors' engine could not compile."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"(?s:{pattern})")
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        raise BadQuery(f"bad pattern {pattern!r}: {e}") from None
+
+
 def matching_series(series: DataFrame, s: Selector) -> DataFrame:
     if s.name is not None:
         series = series.where(F.col("metric_name") == s.name)

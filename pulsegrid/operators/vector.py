@@ -6,14 +6,16 @@ written once: a grid only adds ts_us to its keys.
 
 from __future__ import annotations
 
-from math import inf, isfinite, isnan
+from math import isfinite, isnan
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ARITHMETIC, COMPARE, drop_labels, finite, keep_labels, label_key
 from ..plans.promql import Aggregate, Binary
+from ..schema import BadQuery
 
 CALLS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double"), "group": lambda c: F.lit(1.0), "stddev": F.stddev_pop, "stdvar": F.var_pop}
 
@@ -28,6 +30,16 @@ def aggregate(v: DataFrame, node: Aggregate, only_finite: bool) -> DataFrame:
     return got.where(finite(F.col("value"))) if only_finite else got.where("value is not null")
 
 
+def aggregate_series(rows: DataFrame, series: DataFrame, node: Aggregate, only_finite: bool) -> DataFrame:
+    """aggregate of (series_id, ts_us, value): groups are formed among the series and named by their least id; no label meets a sample."""
+    key = label_key(group_labels(node))
+    of = series.select("series_id", key.alias("key"), F.min("series_id").over(Window.partitionBy(key)).alias("group"))
+    got = rows.where("value is not null").join(of.select("series_id", "group"), "series_id").groupBy("group", "ts_us").agg(CALLS[node.function](F.col("value")).alias("value"))
+    got = got.where(finite(F.col("value"))) if only_finite else got.where("value is not null")
+    named = of.where("series_id = group").select("group", F.map_from_entries("key").alias("labels"))
+    return got.join(named, "group").select(F.lit("").alias("metric_name"), "labels", "ts_us", "value")
+
+
 def rank(v: DataFrame, node: Aggregate) -> DataFrame:
     """topk and bottomk; ties go by metric and labels."""
     n = int(node.count) if isfinite(node.count) and node.count > 0 else 0
@@ -57,7 +69,11 @@ def match_labels(node: Binary) -> Column:
 
 
 def with_vector(left: DataFrame, right: DataFrame, node: Binary) -> DataFrame:
-    """Matches by labels and time. Of several on a side that should have one, the last by labels counts."""
+    """Matches by labels and time.
+
+    Of several on a side that should have one, the last by labels counts, and of
+    those the greatest value: a matching of many to many is not refused.
+    """
     key = label_key(match_labels(node)).alias("key")
     if node.op in ("and", "unless"):
         return left.withColumn("key", key).join(right.select(key, "ts_us").distinct(), ["key", "ts_us"], "left_semi" if node.op == "and" else "left_anti").select(*left.columns)
@@ -92,6 +108,23 @@ def with_vector(left: DataFrame, right: DataFrame, node: Binary) -> DataFrame:
     return both.select(name.alias("metric_name"), labels.alias("labels"), "ts_us", value.alias("value")).where("value is not null")
 
 
+def with_series(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], node: Binary) -> DataFrame:
+    """with_vector for (samples, series) of one metric on each side, matched by all labels: series meet first, then samples by id and time."""
+    once = lambda rows: rows.groupBy("series_id", "ts_us").agg(F.max("value").alias("value"))
+    key = label_key(F.col("labels")).alias("key")
+    pairs = left[1].select("series_id", key).join(right[1].select(F.col("series_id").alias("other"), key), "key").select("series_id", "other")
+    ones = once(right[0]).select(F.col("series_id").alias("other"), "ts_us", F.col("value").alias("one"))
+    both = once(left[0]).join(pairs, "series_id").join(ones, ["other", "ts_us"])
+    a, b, name = F.col("value"), F.col("one"), F.lit("")
+    if node.op in COMPARE and not node.bool:
+        both, name = both.where(COMPARE[node.op](a, b)), F.col("metric_name")
+        value = a
+    else:
+        value = F.when(COMPARE[node.op](a, b), 1.0).otherwise(0.0) if node.op in COMPARE else ARITHMETIC[node.op](a, b)
+    got = both.select("series_id", "ts_us", value.alias("value")).where("value is not null")
+    return got.join(left[1], "series_id").select(name.alias("metric_name"), "labels", "ts_us", "value")
+
+
 def histogram_quantile(v: DataFrame, q: float) -> DataFrame:
     """Quantile of cumulative buckets, which are few in each histogram: they meet as one sorted array."""
     le = F.expr("CASE WHEN lower(labels['le']) IN ('+inf', 'inf') THEN double('Infinity') WHEN lower(labels['le']) = '-inf' THEN double('-Infinity') ELSE try_cast(labels['le'] AS double) END")
@@ -113,18 +146,11 @@ def histogram_quantile(v: DataFrame, q: float) -> DataFrame:
 
 
 def constant(node: Binary, a: float, b: float) -> float:
-    """Two scalars."""
-    from math import atan2, fmod, nan
-
-    def div() -> float:
-        if b:
-            return a / b
-        return nan if not a or isnan(a) else inf * (1 if a > 0 else -1) * (-1 if str(b) == "-0.0" else 1)
-
+    """Two scalars, by IEEE rules: nothing raises."""
     if node.op in COMPARE:
         if not node.bool:
-            from ..schema import BadQuery
-
             raise BadQuery("comparison of scalars needs bool")
         return float({"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[node.op])
-    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": div, "%": lambda: fmod(a, b) if b else nan, "^": lambda: a**b, "atan2": lambda: atan2(a, b)}[node.op]()
+    with np.errstate(all="ignore"):
+        x, y = np.float64(a), np.float64(b)
+        return float({"+": np.add, "-": np.subtract, "*": np.multiply, "/": np.divide, "%": np.fmod, "^": np.power, "atan2": np.arctan2}[node.op](x, y))

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+from tempfile import mkdtemp
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import Engine
 from ..sources import tables
-from ..sources.ingest import rejected, validated
-from ..sources.store import register_views
+from ..functions.expr import micros
+from ..sources.ingest import parse_json, rejected, validated
+from ..sources.store import MetricStore, new_series, register_views
 
 DAY = 86_400_000_000
 T0 = 1_705_708_800_000_000  # 2024-01-20 00:00 UTC
-START, STEP, POINTS = T0 - 10 * DAY, DAY // 2, 21
+#: The grid of range queries spans the whole table, which covers January.
+START, STEP, POINTS = T0 - 19 * DAY, DAY // 2, 61
+END = START + (POINTS - 1) * STEP
 LOOKBACK = 3 * DAY
 WINDOW = 5 * DAY
 
@@ -27,6 +33,8 @@ BUCKETS = (
 )
 #: name -> (query, SQL)
 _BOTH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+#: name -> (text, tables, labels, instant, aligned) of those that are PromQL
+PROMQL: dict[str, tuple[str, Callable, list[str], bool, bool]] = {}
 
 
 def latest(base: str, key: str = KEY, t: int = T0) -> str:
@@ -51,23 +59,25 @@ def windowed(base: str, function: str, key: str = KEY, instant: bool = True, sta
 
 
 def _query(text: str, source: Callable, labels: list[str], instant: bool, aligned: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(*source(spark, sf_dir), lookback=LOOKBACK / 1e6)
-        v = engine.query(text, T0 / 1e6) if instant else engine.query_range(text, START / 1e6, T0 / 1e6, STEP / 1e6, aligned)
-        return v.select("metric_name", *(F.col("labels")[k].alias(k) for k in labels), "ts_us", F.round("value", 6).alias("value"))
+    return lambda spark, sf_dir: answer(Engine(*source(spark, sf_dir), lookback=LOOKBACK / 1e6), text, labels, instant, aligned)
 
-    return run
+
+def answer(engine: Engine, text: str, labels: list[str], instant: bool, aligned: bool) -> DataFrame:
+    """The vector of a query with its labels as columns."""
+    v = engine.query(text, T0 / 1e6) if instant else engine.query_range(text, START / 1e6, END / 1e6, STEP / 1e6, aligned)
+    return v.select("metric_name", *(F.col("labels")[k].alias(k) for k in labels), "ts_us", F.round("value", 6).alias("value"))
 
 
 def add(name: str, text: str, source: Callable, labels: list[str], sql: str, metric: str = "", instant: bool = True, aligned: bool = False) -> None:
     """sql gives the labels, us and value."""
     columns = "".join(f"{k}, " for k in labels)
+    PROMQL[name] = (text, source, labels, instant, aligned)
     _BOTH[name] = (_query(text, source, labels, instant, aligned), f"SELECT '{metric}' AS metric_name, {columns}CAST(us AS BIGINT) AS ts_us, round(CAST(value AS DOUBLE), 6) AS value FROM ({sql})")
 
 
 BOTH = ["event_type", "user_id"]
 G, C, H = tables.gauge, tables.counter, tables.histogram
-raw = f"SELECT {KEY}, us, value FROM ({GAUGE}) WHERE us BETWEEN {START} AND {T0}"
+raw = f"SELECT {KEY}, us, value FROM ({GAUGE}) WHERE us BETWEEN {START} AND {END}"
 
 add("f11_instant_selector", "event_value", G, BOTH, latest(GAUGE), "event_value")
 add("f2_label_equal", 'event_value{event_type="click"}', G, BOTH, f"SELECT * FROM ({latest(GAUGE)}) WHERE event_type = 'click'", "event_value")
@@ -80,6 +90,11 @@ aligned = f"SELECT {KEY}, e AS us, value FROM (SELECT *, row_number() OVER (PART
 add("f12_range_selector_aligned", "event_value", G, BOTH, aligned, "event_value", instant=False, aligned=True)
 add("q20_offset", "rate(event_total[5d] offset 2d)", C, BOTH, f"SELECT {KEY}, {T0} AS us, value FROM ({windowed(COUNTER, 'rate', start=T0 - 2 * DAY)})", "event_total")
 
+t1 = T0 - 3 * DAY
+add("q20_at", f"event_value @ {t1 // 1_000_000}", G, BOTH, latest(GAUGE, t=t1), "event_value")
+add("q20_at_range", f"increase(event_total[5d] @ {t1 // 1_000_000})", C, BOTH, f"SELECT {KEY}, e AS us, value FROM ({windowed(COUNTER, 'increase', start=t1).replace('us >= e', 'us > e')}), ({grid})", "event_total", instant=False)
+add("f2_string_escapes", r'event_value{event_type="\x63l\u0069ck",user_id!="\r\n"}', G, BOTH, f"SELECT * FROM ({latest(GAUGE)}) WHERE event_type = 'click'", "event_value")
+
 for n, function in enumerate(("increase", "rate", "irate", "delta"), 1):
     for instant in (True, False):
         add(f"r{n}_{function}_{'instant' if instant else 'range'}", f"{function}(event_total[5d])", C, BOTH, windowed(COUNTER, function, instant=instant), "event_total", instant)
@@ -88,6 +103,8 @@ at = f"{T0} AS us"
 for op in ("sum", "avg", "min", "max", "count"):
     sql = "count(*)" if op == "count" else f"{op}(value)"
     add(f"a1_{op}_instant_by", f"{op} by (event_type) (event_value)", G, ["event_type"], f"SELECT event_type, {at}, {sql} AS value FROM ({latest(GAUGE)}) GROUP BY event_type")
+for op, sql in {"group": "1", "stddev": "stddev_pop(value)", "stdvar": "var_pop(value)"}.items():
+    add(f"a15_{op}", f"{op} by (event_type) (event_value)", G, ["event_type"], f"SELECT event_type, {at}, {sql} AS value FROM ({latest(GAUGE)}) GROUP BY event_type")
 add("a1_sum_instant_all", "sum(event_value)", G, [], f"SELECT {at}, sum(value) AS value FROM ({latest(GAUGE)}) HAVING count(*) > 0")
 add("a2_sum_instant_without", "sum without (user_id) (event_value)", G, ["event_type"], f"SELECT event_type, {at}, sum(value) AS value FROM ({latest(GAUGE)}) GROUP BY event_type")
 add("a3_sum_range_by", "sum by (event_type) (event_value)", G, ["event_type"], f"SELECT event_type, us, sum(value) AS value FROM ({raw}) GROUP BY event_type, us", instant=False)
@@ -117,7 +134,7 @@ add("k9_topk_generic_instant", "topk(2, sum by (event_type) (event_value))", G,
 add("k10_topk_generic_range", "topk(1, sum by (event_type) (increase(event_total[5d])))", C, ["event_type"], f"SELECT event_type, us, value FROM (SELECT *, row_number() OVER (PARTITION BY us ORDER BY value DESC, event_type) AS rn FROM (SELECT event_type, us, sum(value) AS value FROM ({windowed(COUNTER, 'increase', instant=False)}) GROUP BY event_type, us)) WHERE rn = 1", instant=False)
 
 held = f"SELECT {KEY}, {at}, value FROM ({latest(COUNTER)})"
-counts = f"SELECT {KEY}, us, value FROM ({COUNTER}) WHERE us BETWEEN {START} AND {T0}"
+counts = f"SELECT {KEY}, us, value FROM ({COUNTER}) WHERE us BETWEEN {START} AND {END}"
 for op, sql in {"plus": ("+", "value + 3"), "minus": ("-", "value - 3"), "times": ("*", "value * 3"), "over": ("/", "value / 3"), "modulo": ("%", "value % 3"), "power": ("^", "power(value, 3)")}.items():
     add(f"b1_{op}_scalar", f"event_total {sql[0]} 3", C, BOTH, f"SELECT {KEY}, us, {sql[1]} AS value FROM ({held})")
 add("b1_divide_by_zero", "event_total / 0", C, BOTH, f"SELECT {KEY}, us, CASE WHEN value = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS value FROM ({held})")
@@ -126,16 +143,29 @@ add("b3_compare_bool", "event_total >= bool 4", C, BOTH, f"SELECT {KEY}, us, CAS
 add("b4_scalar_left_filter", "3 < event_total", C, BOTH, f"SELECT * FROM ({held}) WHERE value > 3", "event_total")
 add("b5_scalar_range", "event_total * 2", C, BOTH, f"SELECT {KEY}, us, value * 2 AS value FROM ({counts})", instant=False)
 add("b6_scalar_generic", "rate(event_total[5d]) * 1000", C, BOTH, f"SELECT {KEY}, us, value * 1000 AS value FROM ({windowed(COUNTER, 'rate')})")
-add("b7_vector_vector_instant", "event_total - event_total", C, BOTH, f"SELECT {KEY}, us, 0 AS value FROM ({held})")
-add("b7_filter_vector_vector", "event_total >= event_total", C, BOTH, held, "event_total")
-add("b8_vector_vector_range", "event_total + event_total", C, BOTH, f"SELECT {KEY}, us, value * 2 AS value FROM ({counts})", instant=False)
+V = tables.both
+#: Two metrics; on the right only some series and times, so that what has no match shows.
+some = f"SELECT * FROM ({COUNTER}) WHERE user_id NOT LIKE '1%' AND value <> 2"
+matched = f"FROM ({now}) g JOIN ({held}) h ON g.event_type = h.event_type AND g.user_id = h.user_id"
+add("b7_vector_vector_instant", 'event_value - event_total{user_id!~"1.*"}', V, BOTH, f"SELECT g.event_type, g.user_id, g.us, g.value - h.value AS value {matched} WHERE g.user_id NOT LIKE '1%'")
+add("b7_filter_vector_vector", "event_value >= event_total", V, BOTH, f"SELECT g.event_type, g.user_id, g.us, g.value {matched} WHERE g.value >= h.value", "event_value")
+add("b7_bool_vector_vector", "event_value < bool event_total", V, BOTH, f"SELECT g.event_type, g.user_id, g.us, CASE WHEN g.value < h.value THEN 1 ELSE 0 END AS value {matched}")
+meeting = f"FROM (SELECT event_type, user_id, us, max(value) AS value FROM ({raw}) GROUP BY ALL) g JOIN (SELECT event_type, user_id, us, max(value) AS value FROM ({counts}) GROUP BY ALL) h USING (event_type, user_id, us)"
+add("b8_vector_vector_range", 'event_value + event_total{event_type!="click"}', V, BOTH, f"SELECT event_type, user_id, us, g.value + h.value AS value {meeting} WHERE event_type <> 'click'", instant=False)
+add("b8_filter_range", "event_value > event_total", V, BOTH, f"SELECT event_type, user_id, us, g.value AS value {meeting} WHERE g.value > h.value", "event_value", instant=False)
 both = f"SELECT a.event_type, a.user_id, a.us, a.value / b.value AS value FROM ({windowed(COUNTER, 'increase')}) a JOIN ({windowed(COUNTER, 'rate')}) b ON a.event_type = b.event_type AND a.user_id = b.user_id WHERE b.value <> 0"
 add("b9_vector_vector_generic", "increase(event_total[5d]) / (rate(event_total[5d]) > 0)", C, BOTH, both)
 sums = f"SELECT event_type, sum(value) AS s FROM ({latest(COUNTER)}) GROUP BY event_type"
 add("j14_on_group_left", "event_total - on (event_type) group_left sum by (event_type) (event_total)", C, BOTH, f"SELECT h.event_type, h.user_id, us, value - s AS value FROM ({held}) h JOIN ({sums}) s ON h.event_type = s.event_type")
 add("j14_on", "sum by (event_type) (event_total) / on (event_type) count by (event_type) (event_total)", C, ["event_type"], f"SELECT event_type, {at}, avg(value) AS value FROM ({latest(COUNTER)}) GROUP BY event_type")
-add("j14_ignoring", 'event_total{user_id="1"} + ignoring (user_id) event_total{user_id="1"}', C, ["event_type"], f"SELECT event_type, us, value * 2 AS value FROM ({held}) WHERE user_id = '1'")
+least = f"SELECT event_type, min(value) AS s FROM ({latest(GAUGE)}) GROUP BY event_type"
+add("j14_ignoring", "event_total * ignoring (user_id) group_left min without (user_id) (event_value)", V, BOTH, f"SELECT h.event_type, h.user_id, us, value * s AS value FROM ({held}) h JOIN ({least}) s ON h.event_type = s.event_type")
+add("j14_group_right", "sum by (event_type) (event_total) / on (event_type) group_right event_value", V, BOTH, f"SELECT g.event_type, g.user_id, us, CASE WHEN value = 0 THEN CAST('inf' AS DOUBLE) ELSE s / value END AS value FROM ({now}) g JOIN ({sums}) s ON g.event_type = s.event_type")
+add("j14_include", 'sum by (user_id) (event_value) + on (user_id) group_left (event_type) event_total{event_type="view"}', V, BOTH, f"SELECT h.event_type, h.user_id, h.us, t + h.value AS value FROM ({held}) h JOIN (SELECT user_id, sum(value) AS t FROM ({latest(GAUGE)}) GROUP BY user_id) g ON g.user_id = h.user_id WHERE h.event_type = 'view'")
 add("b10_scalar_scalar", "2 * (3 + 4) ^ 2", C, [], f"SELECT {at}, 98 AS value")
+for i, (text, value) in enumerate((("0 ^ -1", "CAST('inf' AS DOUBLE)"), ("10 ^ 400", "CAST('inf' AS DOUBLE)"), ("(-8) ^ 0.5", "CAST('nan' AS DOUBLE)"), ("Inf % 2", "CAST('nan' AS DOUBLE)"), ("-7 % 3", "-1"), ("-1 / 0", "CAST('-inf' AS DOUBLE)"), ("1 atan2 2", "atan2(1, 2)"), ("-2 ^ 2", "-4"), ("2 >= bool 2", "1"))):
+    add(f"b10_scalars_{i}", text, C, [], f"SELECT {at}, {value} AS value")
+add("b11_atan2", "event_value atan2 event_total", V, BOTH, f"SELECT g.event_type, g.user_id, g.us, atan2(g.value, h.value) AS value {matched}")
 add("b11_and", "event_total and event_total > 3", C, BOTH, f"SELECT * FROM ({held}) WHERE value > 3", "event_total")
 add("b11_or", "event_total < 2 or event_total > 4", C, BOTH, f"SELECT * FROM ({held}) WHERE value < 2 OR value > 4", "event_total")
 add("b11_unless", "event_total unless event_total > 3", C, BOTH, f"SELECT * FROM ({held}) WHERE value <= 3", "event_total")
@@ -162,6 +192,8 @@ for kind, instant in (("instant", True), ("range", False)):
     add(f"h{1 if instant else 2}_quantile_{kind}", "histogram_quantile(0.5, increase(event_value_bucket[5d]))", H, BOTH, quantile(inner, KEY, 0.5), instant=instant)
     summed = f"SELECT event_type, le, us, sum(value) AS value FROM ({inner}) GROUP BY event_type, le, us"
     add(f"h3_quantile_of_sum_{kind}", "histogram_quantile(0.9, sum by (event_type, le) (increase(event_value_bucket[5d])))", H, ["event_type"], quantile(summed, "event_type", 0.9), instant=instant)
+odd = f"SELECT event_type, le, us, sum(value) AS value FROM ({windowed(BUCKETS, 'increase', bucket_key)}) WHERE le <> '250' GROUP BY event_type, le, us"
+add("h4_odd_bounds", "histogram_quantile(0.5, sum by (event_type, le) (increase(event_value_bucket[5d])))", tables.odd_buckets, ["event_type"], quantile(odd, "event_type", 0.5))
 add("h3_quantile_one", "histogram_quantile(1, sum by (event_type, le) (increase(event_value_bucket[5d])))", H, ["event_type"], quantile(f"SELECT event_type, le, us, sum(value) AS value FROM ({windowed(BUCKETS, 'increase', bucket_key)}) GROUP BY event_type, le, us", "event_type", 1))
 
 
@@ -202,6 +234,41 @@ def i1_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected(validated(wire, T0 // 1000)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def i5_json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each user and kind of event, cut short for every fifth user; the clock is each sample's own."""
+    e = tables.events(spark, sf_dir)
+    sample = F.struct(F.lit("event_value").alias("metric"), F.create_map(F.lit("user"), "user_id").alias("labels"), F.expr("ts_us div 1000").alias("ts"), "value")
+    bodies = e.groupBy("event_type", "user_id").agg(F.to_json(F.struct(F.collect_list(sample).alias("samples"))).alias("body"))
+    bodies = bodies.select(F.when(F.col("user_id").cast("long") % 5 == 0, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.col("body")).alias("body"))
+    rows = validated(parse_json(bodies), F.col("ts"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("reason").isNull(), F.col("series_id"))).alias("series"), F.round(F.sum("value"), 3).alias("total"))
+
+
+def j12_new_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of events that a store which holds the clicks doesn't know."""
+    series, samples = G(spark, sf_dir)
+    accepted = samples.join(series, "series_id").withColumnRenamed("metric_name", "metric")
+    known = series.where("labels['event_type'] = 'click'")
+    return new_series(accepted, known).groupBy("metric_name", F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"))
+
+
+def s11_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams write their batch 0, one of them twice, a third adds more; a day is compacted; what the store holds by day."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp()}"
+    series, samples = G(spark, sf_dir)
+    accepted = samples.join(series, "series_id").select("series_id", F.col("metric_name").alias("metric"), "labels", micros(F.col("timestamp")).alias("ts_us"), "value")
+    third = F.pmod(F.col("ts_us"), F.lit(3))
+    store = MetricStore(spark, f"{folder.rstrip('/')}/store-{uuid4().hex}")
+    store.append(accepted.where(third == 0), 0, "a")
+    store.append(accepted.where(third == 1), 0, "b")
+    store.append(accepted.where(third == 0), 0, "a")
+    store.append(accepted.where(third == 2), 1, "a")
+    store.append(accepted.where("false"), 2, "a")
+    store.compact(date(2024, 1, 20))
+    rows = store.samples().join(store.series(), "series_id")
+    return rows.groupBy(F.col("timestamp_day").alias("day"), "metric_name").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("series"), F.round(F.sum("value"), 3).alias("total"))
+
+
 _MS = T0 // 1000
 for f, sql in (
     (m1_label_names, "SELECT unnest(['__name__', 'event_type', 'le', 'user_id']) AS label"),
@@ -210,9 +277,13 @@ for f, sql in (
     (m4_metric_view, "SELECT 'event_value' AS metric_name, event_type, count(*) AS n, max(epoch_us(ts)) AS last_us FROM events GROUP BY event_type"),
     (m5_rate_view, f"SELECT {KEY}, us AS ts_us, round((value - lag(value) OVER w) / nullif((us - lag(us) OVER w) / 1e6, 0), 9) AS value_per_sec FROM ({COUNTER}) WINDOW w AS (PARTITION BY {KEY} ORDER BY us, value)"),
     (m8_sql, "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series FROM events GROUP BY ROLLUP (1) HAVING count(*) > 1"),
-    (i1_validate, f"""SELECT CASE WHEN event_id % 11 = 0 THEN 'metric name ''event-value'' is not valid' WHEN event_id % 10 = 0 THEN 'label name ''__user'' is reserved'
-        WHEN epoch_us(ts) // 1000 < {_MS} - 3600000 THEN 'timestamp is too old' WHEN epoch_us(ts) // 1000 > {_MS} + 300000 THEN 'timestamp is too far in the future' END AS reason, count(*) AS n
+    (i1_validate, f"""SELECT CASE WHEN event_id % 11 = 0 THEN 'metric name ''event-value'' contains invalid characters (must match [a-zA-Z_][a-zA-Z0-9_]*)' WHEN event_id % 10 = 0 THEN 'label name ''__user'' is reserved (starts with ''__'')'
+        WHEN epoch_us(ts) // 1000 < {_MS} - 3600000 THEN 'timestamp ' || epoch_us(ts) // 1000 || ' ms is too old: now={_MS} ms, grace=3600000 ms' WHEN epoch_us(ts) // 1000 > {_MS} + 300000 THEN 'timestamp ' || epoch_us(ts) // 1000 || ' ms is in the future: now={_MS} ms, grace=300000 ms' END AS reason, count(*) AS n
         FROM events GROUP BY 1 HAVING reason IS NOT NULL"""),
+    (i5_json_requests, """SELECT NULL AS reason, count(*) AS n, count(DISTINCT user_id) AS series, round(sum(value), 3) AS total FROM events WHERE user_id % 5 <> 0
+        UNION ALL SELECT 'request is not valid JSON', count(DISTINCT (event_type, user_id)), 0, NULL FROM events WHERE user_id % 5 = 0 HAVING count(*) > 0"""),
+    (j12_new_series, "SELECT 'event_value' AS metric_name, event_type, count(DISTINCT user_id) AS n FROM events WHERE event_type <> 'click' GROUP BY event_type"),
+    (s11_store_round_trip, "SELECT CAST(ts AS DATE) AS day, 'event_value' AS metric_name, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series, round(sum(value), 3) AS total FROM events GROUP BY 1"),
 ):
     _BOTH[f.__name__] = (f, sql)
 

@@ -54,6 +54,10 @@ def evaluate(node, c: Context) -> DataFrame | float:
         return selector(node, c)
     if isinstance(node, RangeCall):
         return range_call(node, c)
+    if isinstance(node, Aggregate) and node.function not in RANKED and (isinstance(node.inner, RangeCall) or pure(node.inner)):
+        # Samples and range functions of series are summed by ids; labels come back after.
+        rows, series = range_rows(node.inner, c) if isinstance(node.inner, RangeCall) else selector_rows(node.inner, c)
+        return vector.aggregate_series(now(rows, c), series, node, isinstance(node.inner, RangeCall))
     if isinstance(node, Aggregate):
         inner = now(vector_of(node.inner, c, node.function), c)
         if node.function in RANKED:
@@ -64,6 +68,8 @@ def evaluate(node, c: Context) -> DataFrame | float:
     if isinstance(node, Negate):
         inner = evaluate(node.inner, c)
         return -inner if isinstance(inner, float) else now(inner, c).select(F.lit("").alias("metric_name"), "labels", "ts_us", (-F.col("value")).alias("value"))
+    if isinstance(node, Binary) and not c.instant and node.op not in ("and", "or", "unless") and node.match is None and all(pure(x) and x.name for x in (node.left, node.right)):
+        return vector.with_series(selector_rows(node.left, c), selector_rows(node.right, c), node)
     if isinstance(node, Binary):
         left, right = evaluate(node.left, c), evaluate(node.right, c)
         if isinstance(left, float) and isinstance(right, float):
@@ -95,22 +101,36 @@ def shifted(node: Selector, c: Context) -> tuple[int, int]:
     return start - node.offset_us, end - node.offset_us
 
 
+def pure(node) -> bool:
+    return isinstance(node, Selector) and node.range_us is None
+
+
 def selector(node: Selector, c: Context) -> DataFrame:
+    return select.labelled(*selector_rows(node, c))
+
+
+def selector_rows(node: Selector, c: Context) -> tuple[DataFrame, DataFrame]:
+    """(series_id, ts_us, value) and the series."""
     series = select.matching_series(c.series, node)
     start, end = shifted(node, c)
     if c.instant:
-        return select.labelled(select.latest(select.selected(series, c.samples, start - c.lookback, start)), series)
+        return select.latest(select.selected(series, c.samples, start - c.lookback, start)), series
     if node.at_us is not None or c.aligned:
         points = 1 if node.at_us is not None else c.points
         limit(points)
         rows = rangefn.on_grid(select.selected(series, c.samples, start - c.lookback, end), start, c.step, points, c.lookback + 1)
         got = select.latest(rows, "eval_us").withColumn("ts_us", F.col("eval_us"))
-        return select.labelled(spread(got, node, c), series)
+        return spread(got, node, c).select("series_id", "ts_us", "value"), series
     got = select.selected(series, c.samples, start, end)
-    return select.labelled(got.withColumn("ts_us", F.col("ts_us") + node.offset_us) if node.offset_us else got, series)
+    return got.withColumn("ts_us", F.col("ts_us") + node.offset_us) if node.offset_us else got, series
 
 
 def range_call(node: RangeCall, c: Context) -> DataFrame:
+    return select.labelled(*range_rows(node, c))
+
+
+def range_rows(node: RangeCall, c: Context) -> tuple[DataFrame, DataFrame]:
+    """(series_id, ts_us, value) and the series."""
     s = node.selector
     series = select.matching_series(c.series, s)
     start, end = shifted(s, c)
@@ -120,7 +140,7 @@ def range_call(node: RangeCall, c: Context) -> DataFrame:
     width = s.range_us + int(c.instant)
     rows = select.selected(series, c.samples, start - width + 1, end)
     got = rangefn.range_function(rows, node.function, start, c.step or 1, points, width) if points else rangefn.range_function(rows.where("false"), node.function, start, 1, 1, width)
-    return select.labelled(spread(got, s, c), series)
+    return spread(got, s, c), series
 
 
 def spread(got: DataFrame, node: Selector, c: Context) -> DataFrame:

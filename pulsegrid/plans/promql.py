@@ -83,10 +83,39 @@ def duration_us(text: str | float) -> int:
     try:
         return round(float(text) * 1e6)
     except (TypeError, ValueError):
-        parts = re.findall(r"(\d+)(ms|[smhdwy])", str(text))
-        if not parts or "".join(a + b for a, b in parts) != text:
+        parts = re.findall(r"(\d+\.?\d*|\.\d+)(ms|[smhdwy])", str(text).strip())
+        if not parts or "".join(a + b for a, b in parts) != str(text).strip() or (len(parts) > 1 and "." in str(text)):
             raise BadQuery(f"bad duration {text!r}") from None
-        return sum(int(a) * UNIT_US[b] for a, b in parts)
+        return sum(int(float(a) * UNIT_US[b]) if "." in a else int(a) * UNIT_US[b] for a, b in parts)
+
+
+_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"', "'": "'"}
+
+
+def unquoted(raw: str) -> str:
+    """The value of a string literal: escapes as in Go, where octal and x name bytes; none between back quotes."""
+    if raw[0] == "`":
+        return raw[1:-1]
+    out = bytearray()
+    for m in re.finditer(r"(?s)\\([0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.)|[^\\]+", raw[1:-1]):
+        own = m[1]
+        try:
+            if own is None:
+                out += m[0].encode()
+            elif own in _ESCAPES:
+                out += _ESCAPES[own].encode()
+            elif len(own) == 1:
+                raise ValueError
+            elif own[0] in "uU":
+                out += chr(int(own[1:], 16)).encode()
+            else:
+                out.append(int(own[1:], 16) if own[0] == "x" else int(own, 8))
+        except (ValueError, OverflowError):
+            raise BadQuery(f"bad escape in {raw}") from None
+    try:
+        return out.decode()
+    except UnicodeDecodeError:
+        raise BadQuery(f"{raw} is not UTF-8") from None
 
 
 def time_us(value: str | float | datetime) -> int:
@@ -257,7 +286,7 @@ class Parser:
                 if op not in ("=", "!=", "=~", "!~") or self.kind() != "string":
                     raise BadQuery(f"bad matcher on {label!r}")
                 raw = self.next()
-                value = raw[1:-1] if raw[0] == "`" else re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), raw[1:-1])
+                value = unquoted(raw)
                 if label == "__name__" and op == "=" and name is None:
                     name = value
                 else:

@@ -6,11 +6,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 32 << 20
-SCHEMA = "request long, labels array<struct<name:string,value:string>>, ts long, value double, error string"
+SCHEMA = "request long, index int, series int, labels array<struct<name:string,value:string>>, ts long, value double, error string"
 
 
 class BadBody(ValueError):
@@ -86,28 +86,32 @@ def fields(b: bytes) -> Iterator[tuple[int, int, object]]:
         yield key >> 3, kind, value
 
 
-def decode(body: bytes) -> list[tuple[list[dict], int, float]]:
-    """(labels, ts in ms, value) of each sample of a compressed write request."""
+def decode(body: bytes | None) -> list[tuple[int, list[dict], int, float]]:
+    """(number of the series, labels, ts in ms, value) of each sample of a compressed write request. Of labels of one name the last counts."""
+    if body is None:
+        raise BadBody("body is missing")
     if len(body) > MOST_BYTES:
         raise BadBody("body is too large")
-    out = []
+    out, place = [], -1
     for number, kind, series in fields(unsnappy(body)) if body else ():
         if number != 1 or kind != 2:
             continue
-        labels, samples = [], []
+        place += 1
+        labels, samples = {}, []
         for n, k, value in fields(series):
             if k != 2:
                 continue
             own = {i: v for i, _, v in fields(value)}
             try:
                 if n == 1:
-                    labels.append({"name": own.get(1, b"").decode(), "value": own.get(2, b"").decode()})
+                    labels[own.get(1, b"").decode()] = own.get(2, b"").decode()
                 elif n == 2:
                     ts = own.get(2, 0)
                     samples.append((ts - (1 << 64) if ts >> 63 else ts, struct.unpack("<d", own.get(1, bytes(8)))[0]))
             except (AttributeError, UnicodeDecodeError, struct.error) as e:
                 raise BadBody(str(e)) from None
-        out.extend((labels, ts, value) for ts, value in samples)
+        named = [{"name": k, "value": v} for k, v in labels.items()]
+        out.extend((place, named, ts, value) for ts, value in samples)
     return out
 
 
@@ -119,17 +123,30 @@ def decoded(bodies: DataFrame) -> DataFrame:
             rows = []
             for request, body in zip(b["request"], b["body"], strict=True):
                 try:
-                    rows.extend((request, labels, ts, value, None) for labels, ts, value in decode(bytes(body)))
+                    rows.extend((request, i, *sample, None) for i, sample in enumerate(decode(None if body is None else bytes(body))))
                 except BadBody as e:
-                    rows.append((request, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["request", "labels", "ts", "value", "error"]).astype({"ts": "Int64"})
+                    rows.append((request, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["request", "index", "series", "labels", "ts", "value", "error"]).astype({"index": "Int32", "series": "Int32", "ts": "Int64"})
 
     return bodies.select(F.col("request").cast("long").alias("request"), "body").mapInPandas(run, SCHEMA)
 
 
+def metric_name() -> Column:
+    return F.get(F.filter("labels", lambda x: x["name"] == "__name__"), F.lit(0))["value"]
+
+
 def flattened(rows: DataFrame) -> DataFrame:
-    """Wire rows: __name__ becomes the metric, other labels of that kind go, samples without a name go."""
-    name = F.get(F.filter("labels", lambda x: x["name"] == "__name__"), F.lit(0))["value"]
+    """Wire rows with their request and index: __name__ becomes the metric, other labels of that kind go, samples without a name go."""
     own = F.filter("labels", lambda x: ~x["name"].startswith("__"))
     labels = F.map_from_entries(F.transform(own, lambda x: F.struct(x["name"], x["value"])))
-    return rows.where("error is null").select("request", name.alias("metric"), labels.alias("labels"), "ts", "value").where("metric is not null and metric != ''")
+    return rows.where("error is null").select("request", "index", metric_name().alias("metric"), labels.alias("labels"), "ts", "value").where("metric is not null and metric != ''")
+
+
+def failed(rows: DataFrame) -> DataFrame:
+    """(request, reason) of bodies that can't be decoded (HTTP 400)."""
+    return rows.where("error is not null").select("request", F.concat(F.lit("remote_write decode: "), "error").alias("reason"))
+
+
+def nameless(rows: DataFrame) -> DataFrame:
+    """(request, series): how many series with samples went for want of a name."""
+    return rows.where("error is null").where(F.coalesce(metric_name(), F.lit("")) == "").groupBy("request").agg(F.countDistinct("series").alias("series"))

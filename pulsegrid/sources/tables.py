@@ -32,6 +32,19 @@ def counter(spark: SparkSession, sf_dir: str, modulus: int = 7) -> tuple[DataFra
     return as_tables(events(spark, sf_dir).select(F.lit("event_total").alias("metric"), _labels("event_type", "user_id").alias("labels"), "ts_us", (n % modulus).cast("double").alias("value")))
 
 
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """event_value and event_total together."""
+    (a, b), (c, d) = gauge(spark, sf_dir), counter(spark, sf_dir)
+    return a.unionByName(c), b.unionByName(d)
+
+
+def odd_buckets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """event_value_bucket with bounds spelled in other ways, and series whose bound is no number."""
+    series, samples = histogram(spark, sf_dir)
+    spelled = F.create_map(*(F.lit(x) for x in ("10", "1e1", "50", "50.0", "100", "1E2", "250", "many", "+Inf", "inf")))
+    return series.withColumn("labels", F.transform_values("labels", lambda k, v: F.when(k == "le", spelled[v]).otherwise(v))), samples
+
+
 def histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """event_value_bucket{event_type, user_id, le}: running counts of values up to le."""
     rows = events(spark, sf_dir).select("*", F.explode(F.array(*(F.lit(b) for b in BOUNDS))).alias("le"))

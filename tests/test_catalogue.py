@@ -20,7 +20,7 @@ def norm(v):
 
 
 @pytest.mark.skipif(not DIR.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES)[::4])
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{DIR}/events.parquet'")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.api import Engine, matrix_json, vector_json
-from pulsegrid.plans.promql import Binary, duration_us, parse, time_us
+from pulsegrid.api import Engine, matrix_json, number, vector_json
+from pulsegrid.plans.promql import Binary, Negate, duration_us, parse, time_us
 from pulsegrid.schema import BadQuery, UnsupportedPromQL
 from pulsegrid.sources.store import as_tables
 
@@ -115,7 +117,11 @@ def test_too_many_points(engine):
 
 def test_precedence():
     assert parse("2 ^ 3 ^ 2") == Binary("^", parse("2"), Binary("^", parse("3"), parse("2")))
-    assert parse("-2 ^ 2").value == -2 if not isinstance(parse("-2 ^ 2"), Binary) and hasattr(parse("-2 ^ 2"), "value") else True
+    assert parse("-2 ^ 2") == Negate(parse("2 ^ 2"))
+    assert duration_us("1.5h") == 5_400_000_000 and duration_us(".5m") == 30_000_000 and duration_us(" 2d") == 172_800_000_000
+    for bad in ("1.5h30m", "h", "", "5x"):
+        with pytest.raises(BadQuery):
+            duration_us(bad)
     assert duration_us("1h30m") == 5_400_000_000 and time_us("1970-01-01T00:00:01Z") == 1_000_000
 
 
@@ -125,3 +131,53 @@ def test_ieee(spark):
     r = spark.range(1).select(*(f(F.lit(a), F.lit(b)) for f in (divide, modulo) for a, b in ((1.0, 0.0), (-1.0, 0.0), (1.0, -0.0), (0.0, 0.0)))).first()
     assert str(list(r)) == "[inf, -inf, -inf, nan, nan, nan, nan, nan]"
     assert spark.range(1).select(COMPARE["=="](F.lit(float("nan")), F.lit(float("nan")))).first()[0] is False
+
+
+def test_string_literals():
+    value = lambda text: parse(f"m{{a={text}}}").matchers[0].value
+    assert value(r'"\r\x41\101\u00e9\U0001F600\\\""') == '\rAAé😀\\"' and value("`\\n`") == "\\n" and value(r"'\xc3\xa9'") == "é"
+    for bad in (r'"\q"', r'"\xff"', r'"\ud800"'):
+        with pytest.raises(BadQuery):
+            value(bad)
+
+
+@pytest.mark.parametrize(("text", "want"), [("0 ^ -1", "inf"), ("10 ^ 400", "inf"), ("(-8) ^ 0.5", "nan"), ("Inf % 2", "nan"), ("5 % 0", "nan"), ("0 / 0", "nan"), ("-1 / 0", "-inf"), ("7 % -4", "3.0"), ("1 < bool 2", "1.0"), ("NaN == bool NaN", "0.0")])
+def test_scalars(engine, text, want):
+    assert str(engine.query(text, T).first()["value"]) == want
+
+
+def test_numbers():
+    assert [number(v) for v in (1e300, 1e-7, -0.0, 3.0, 0.1, float("inf"), float("-inf"), float("nan"))] == ["1" + "0" * 300, "0.0000001", "-0", "3", "0.1", "+Inf", "-Inf", "NaN"]
+
+
+def test_pattern_is_refused_on_the_driver(engine):
+    with pytest.raises(BadQuery):
+        engine.query('{a=~"("}', T)
+
+
+def test_many_to_many_takes_the_last(spark):
+    rows = [("m", {"a": "1", "b": "x"}, 1, 2.0), ("m", {"a": "1", "b": "y"}, 1, 3.0), ("n", {"a": "1", "c": "x"}, 1, 5.0), ("n", {"a": "1", "c": "y"}, 1, 7.0)]
+    e = Engine(*as_tables(spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_us long, value double")))
+    assert [(r["labels"], r["value"]) for r in e.query("m * on (a) n", 1e-6).collect()] == [({"a": "1"}, 21.0)]
+    got = e.query("m * on (a) group_left n", 1e-6).collect()
+    assert sorted((r["labels"]["b"], r["value"]) for r in got) == [("x", 14.0), ("y", 21.0)]
+
+
+def test_range_functions_by_plain_loop(spark):
+    """Panes against a loop over samples, with ties, resets, gaps, odd steps and ranges."""
+    rng = random.Random(11)
+    points = {s: sorted((rng.randrange(0, 400), float(rng.randrange(0, 6))) for _ in range(60)) for s in "abc"}
+    rows = [("m", {"s": s}, t * 1_000_000, v) for s, ps in points.items() for t, v in ps]
+    e = Engine(*as_tables(spark.createDataFrame(rows, "metric string, labels map<string,string>, ts_us long, value double")))
+    for function, span, step in (("increase", 60, 20), ("rate", 35, 14), ("irate", 50, 50), ("delta", 13, 29), ("increase", 7, 60)):
+        want = {}
+        for s, ps in points.items():
+            for at in range(0, 401, step):
+                w = [p for p in ps if at - span < p[0] <= at]
+                ups = [b[1] - a[1] if b[1] >= a[1] else b[1] for a, b in zip(w, w[1:])]  # noqa: B905
+                took = w[-1][0] - w[0][0] if w else 0
+                if len(w) < 2 or (function in ("increase", "rate") and not took) or (function == "irate" and w[-1][0] == w[-2][0]):
+                    continue
+                want[s, at] = {"increase": lambda: sum(ups), "rate": lambda: sum(ups) / took, "irate": lambda: ups[-1] / (w[-1][0] - w[-2][0]), "delta": lambda: w[-1][1] - w[0][1]}[function]()
+        got = {(r["labels"]["s"], r["ts_us"] // 1_000_000): r["value"] for r in e.query_range(f"{function}(m[{span}s])", 0, 400, step).collect()}
+        assert got == pytest.approx(want), (function, span, step)
