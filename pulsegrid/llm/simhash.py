@@ -102,8 +102,8 @@ def ball(bits: int, radius: int) -> list[int]:
 def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b) of distinct fingerprints fp that share a variant and differ in radius or fewer bits; the least of each variant's links with all others."""
     masks = F.array(*(F.lit(m) for m in ball(64, radius // 2)))
-    # Dealt out again: distinct fingerprints are few bytes, which Spark would leave to a few tasks, but each makes a ball of variants.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Dealt out again, by another expression than before: distinct fingerprints are few bytes, which Spark would leave to a few tasks, but each makes a ball of variants.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     sent = fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     met = sent.groupBy("variant").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
     return met.select(F.array_min("met").alias("a"), F.explode("met").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, radius))
