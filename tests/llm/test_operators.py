@@ -14,8 +14,9 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from pulsegrid.llm import bpe, embedding, fingerprint, langid, license, license_templates, lm, mixing, sharding, simhash, substring
+from pulsegrid.llm import bpe, embedding, fingerprint, langid, license, license_templates, lm, mixing, queries, sharding, simhash, substring
 from pulsegrid.llm._common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -613,3 +614,39 @@ def test_pipeline(spark, tmp_path):
     assert by_rows(map(str, whole.collect())) == by_rows(map(str, left.collect()))
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_query_contracts(spark, tmp_path, docs):
+    """Each query's columns and types, and the digests that only the queries make."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, [1.0, 0.1 * (i % 3), 0.0], i % 2) for i in range(9)] + [(9, None, 0), (None, [1.0, 0.0, 0.0], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want_types = {
+        "op1_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "op2_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op3_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+        "op4_license_scans": "doc_id bigint, path string, own_license string, score double, line int, is_license_file boolean, license string, inherited_from string",
+        "op5_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+        "op6_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+        "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    }
+    out = {}
+    for name, types in want_types.items():
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        assert {f"{c} {t}" for c, t in df.dtypes} >= set(types.split(", ")), (name, df.dtypes)
+        out[name] = df.collect()
+        assert len(out[name]) == (len(vectors) if name.startswith("op5") else len(corpus())), name
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    coded = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids) for r in corpus()]
+    assert by_rows((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out["op2_bpe"]) == by_rows((d, len(i), digest(" ".join(map(str, i)).encode()), digest(library.decode(i, skip_special_tokens=False).encode())) for d, i in coded)
+    assert all(len(r["fingerprint"]) == 16 and int(r["fingerprint"], 16) >= 0 for r in out["op3_simhash_near_dedup"])
+    cut = substring.dedup_substrings(docs).collect()
+    assert by_rows((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out["op6_substring_dedup"]) == by_rows((r["doc_id"], r["n_words"], r["n_removed"], digest(r["text"].encode())) for r in cut)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out["op5_embedding_near_dedup"] if r["vec_id"] is not None)
+    size = lambda t: len(split(t))
+    assert by_rows((r["doc_id"], r["size"]) for r in out["op9_mixing"]) == by_rows((r[0], size(r[1])) for r in corpus())
+    assert all(r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0) for r in out["op9_mixing"])
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    assert by_rows((r["doc_id"], r["held_out"], r["n_tokens"]) for r in out["op1_lm_scoring"]) == by_rows((r[0], fold(r[0]), size(r[1]) + 1) for r in corpus())
+    assert len({r["train_tokens"] for r in out["op1_lm_scoring"]}) == 1 and all(r["score"] < 0 and r["base_score"] < 0 for r in out["op1_lm_scoring"])
