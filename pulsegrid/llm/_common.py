@@ -80,16 +80,20 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them: now they are a table
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the table of a frame that materialise returned and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.table_path)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -35,6 +35,7 @@ names of their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, map_batches, materialise, table, text_bytes, words_of
+from ._common import connected_components, map_batches, materialise, remove, table, tables_dir, text_bytes, words_of
 
 SEED = 42
 SIMILAR = 0.8
@@ -222,30 +223,38 @@ def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
     return posted.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """(node, set): the sorted distinct shingle hashes of each text t, as bytes."""
+def bucketed(texts: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """A table of (node, t) in the shared folder, dealt out by node, and its name: joins by node read it without a shuffle."""
+    spark, name = texts.sparkSession, f"near_{uuid.uuid4().hex}"
+    texts.repartition(buckets, "node").write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
+    return spark.table(name), name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [distinct_shingles(t, shingle).tobytes() for t in text_bytes(b, "t")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return map_batches(df.select("node", "t"), run, "node long, set binary")
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have a Jaccard of least or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard of least or more."""
+        def of(node: int, text: bytes) -> np.ndarray | None:
+            """The set of a node; none of a text that shares its id but has another set."""
+            if node not in known:
+                got = distinct_shingles(text, shingle)
+                if xxhash.xxh64_intdigest(got.tobytes(), SEED) != node % (1 << 64):
+                    return None
+                known[node] = got
+            return known[node]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both + 1e-9 >= least * (len(x) + len(y) - both))
+            for x, tx, y, ty in zip(b.column("a").to_pylist(), text_bytes(b, "ta"), b.column("b").to_pylist(), text_bytes(b, "tb"), strict=True):
+                x, y = of(x, tx), of(y, ty)
+                both = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both + 1e-9 >= least * (len(x) + len(y) - both))
+            known.clear()
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    got = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     return map_batches(got, run, "a long, b long")
 
 
@@ -271,23 +280,29 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     posted = materialise(postings(distinct, 1 + documents // PART_ROWS))
     meets = posted.select("node").distinct()
     carriers = made.select("node", "doc_id").join(meets, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
-    sets = materialise(shingle_sets(docs.join(carriers, "id"), shingle).dropDuplicates(["node"]))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + documents // PART_ROWS)
+    texts, name = bucketed(docs.join(carriers, "id").select("node", "t"), buckets)
     # Rows that share an id are one document.
     links = materialise(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
-    links = materialise(links.union(similar(near_identical(made), sets, least)))
-    most = first
+    links = materialise(links.union(similar(near_identical(made), texts, shingle, least)))
+    most, seen = first, None
     while True:
         comp = materialise(connected_components(links))
         rooted = posted.join(comp, "node", "left").select("part", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-        pairs = materialise(candidates(rooted, least, most))
-        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), sets, least)))
+        found = candidates(rooted, least, most)
+        pairs = materialise(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
+        seen = pairs.where("a != b") if seen is None else seen.union(pairs.where("a != b"))
+        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), texts, shingle, least)))
         if pairs.where("a = b").isEmpty():
             break
         most *= GROWTH
     comp = connected_components(links)
     of = made.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
     lows = of.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
-    return materialise(of.join(lows, "root").select("doc_id", "group_id"))
+    groups = materialise(of.join(lows, "root").select("doc_id", "group_id"))
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    remove(docs.sparkSession, f"{tables_dir(docs.sparkSession)}/{name}")
+    return groups
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
