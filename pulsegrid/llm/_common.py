@@ -72,15 +72,18 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, clean: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
-    It cuts the lineage, and survives the loss of any executor.
+    It cuts the lineage, and survives the loss of any executor. clean: also lets
+    go of the shuffle files that made it, which Spark removes when the driver
+    collects what refers to them.
     """
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them: now they are a table
+    if clean:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -275,16 +275,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     documents = docs.count()
-    made = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)))
+    made = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)), clean=True)
     distinct = made.groupBy("node").agg(F.min(F.struct("doc_id", "fp", "n", "prefix")).alias("x")).select("node", "x.*")
-    posted = materialise(postings(distinct, 1 + documents // PART_ROWS))
+    posted = materialise(postings(distinct, 1 + documents // PART_ROWS), clean=True)
     meets = posted.select("node").distinct()
     carriers = made.select("node", "doc_id").join(meets, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + documents // PART_ROWS)
     texts, name = bucketed(docs.join(carriers, "id").select("node", "t"), buckets)
     # Rows that share an id are one document.
     links = materialise(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
-    links = materialise(links.union(similar(near_identical(made), texts, shingle, least)))
+    links = materialise(links.union(similar(near_identical(made), texts, shingle, least)), clean=True)
     most, seen = first, None
     while True:
         comp = materialise(connected_components(links))
@@ -292,7 +292,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = candidates(rooted, least, most)
         pairs = materialise(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
         seen = pairs.where("a != b") if seen is None else seen.union(pairs.where("a != b"))
-        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), texts, shingle, least)))
+        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), texts, shingle, least)), clean=True)
         if pairs.where("a = b").isEmpty():
             break
         most *= GROWTH
