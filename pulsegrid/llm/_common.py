@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch that goes to a Python worker, and Spark's own bound.
 BATCH_BYTES, BATCH_CONF, BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -72,18 +74,27 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each table written herein go as soon as it is written; else Spark keeps them until the driver happens to collect what refers to them."""
+    before = spark.conf.get(CLEAN_CONF, "false")
+    spark.conf.set(CLEAN_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_CONF, before)
+
+
 def materialise(df: DataFrame, clean: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
-    It cuts the lineage, and survives the loss of any executor. clean: also lets
-    go of the shuffle files that made it, which Spark removes when the driver
-    collects what refers to them.
+    It cuts the lineage, and survives the loss of any executor. clean: the
+    shuffle files that made it go at once (``cleaned``).
     """
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    if clean:
-        spark.sparkContext._jvm.System.gc()
+    with cleaned(spark) if clean else nullcontext():
+        df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -18,7 +18,8 @@ Two forms:
   or more share a shingle among the first n - ceil(t n) + 1 of each, so each
   distinct set is posted under these, and sets that meet under a shingle are
   compared unless their sizes or places rule a Jaccard of t out, or they are
-  already in one component. That is done in rounds: each pairs a set with a
+  already in one component: first by a few bytes of parities for each set, which
+  rule out most unlike pairs and no others, then by their texts. That is done in rounds: each pairs a set with a
   bounded number of the others of its bucket, components grow by what was
   verified, and the last round leaves no two components of a bucket uncompared.
   No pair is joined unverified. The sample decides the order alone: how many
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, map_batches, materialise, remove, table, tables_dir, text_bytes, words_of
+from ._common import cleaned, connected_components, discard, map_batches, materialise, remove, table, tables_dir, text_bytes, words_of
 
 SEED = 42
 SIMILAR = 0.8
@@ -128,6 +129,19 @@ def distinct_shingles(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text and text.lower()), shingle))
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each remainder of distinct hashes, by a power of two of twice their number or more: do an odd number of them have it?"""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """How many hashes, at least, are in one of two sets only, by their parities: each changes one bit. The longer one is folded to the remainders of the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes of shingles that many documents of a sample have, and in how many."""
 
@@ -138,20 +152,22 @@ def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np
 
     share = max(1, min(SAMPLE, documents // SAMPLE_ROWS))
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("t")
-    got = map_batches(some, run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(LAST).toArrow()
+    kept = materialise(map_batches(some, run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(LAST), clean=True)
+    got = kept.toArrow()
+    discard(kept)
     h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, node, fp, n, prefix): a hash and the fingerprint of the shingle set, its size, and its first shingles; rows without words are left out."""
+    """(doc_id, node, fp, n, bits, prefix): a hash and the fingerprint of the shingle set, its size, its parity, and its first shingles; rows without words are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            ids, nodes, prints, sizes, firsts = [], [], [], [], []
+            ids, nodes, prints, sizes, bits, firsts = [], [], [], [], [], []
             for i, t in enumerate(text_bytes(b, "t")):
                 h = distinct_shingles(t, shingle)
                 if len(h):
@@ -164,10 +180,11 @@ def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray
                     nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                     prints.append(np.packbits(majority(h.reshape(-1, 1)), bitorder="little").view(np.int64)[0])
                     sizes.append(len(h))
+                    bits.append(parity(h))
                     firsts.append(h[np.argsort(rank, kind="stable")[:length]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], ["doc_id", "node", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.binary())], ["doc_id", "node", "fp", "n", "bits", "prefix"])
 
-    return map_batches(docs, run, "doc_id long, node long, fp long, n int, prefix binary")
+    return map_batches(docs, run, "doc_id long, node long, fp long, n int, bits binary, prefix binary")
 
 
 def postings(sets: DataFrame, parts: int) -> DataFrame:
@@ -223,23 +240,61 @@ def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
     return posted.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
-def bucketed(texts: DataFrame, buckets: int) -> tuple[DataFrame, str]:
-    """A table of (node, t) in the shared folder, dealt out by node, and its name: joins by node read it without a shuffle."""
-    spark, name = texts.sparkSession, f"near_{uuid.uuid4().hex}"
-    texts.repartition(buckets, "node").write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
-    return spark.table(name), name
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """A table of df's rows in the shared folder, dealt out by key: joins by it read the table without a shuffle. For a frame that is dealt out so already."""
+    spark, name = df.sparkSession, f"near_{uuid.uuid4().hex}"
+    with cleaned(spark):
+        df.write.option("path", f"{tables_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.table_name = name
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table that bucketed returned."""
+    df.sparkSession.sql(f"DROP TABLE {df.table_name}")
+    remove(df.sparkSession, f"{tables_dir(df.sparkSession)}/{df.table_name}")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, ia, ib): the pairs whose sizes and parities don't rule a Jaccard of least out, and the ids of rows that have their texts.
+
+    Most pairs that meet are unlike; so they are told apart by some bytes for each shingle set, and texts are sent for the others only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()) * ((1 - least) / (1 + least)) + 1e-6
+            keep = [apart(x, y) <= m for x, y, m in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), most, strict=True)]
+            yield b.select(["a", "b", "ia", "ib"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("id").alias(f"i{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    return map_batches(pairs.join(of("a"), "a").join(of("b"), "b"), run, "a long, b long, ia long, ib long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, size, t): texts as bytes under zstd, and their sizes, since Spark's shuffles hold them at well over that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for b in batches:
+            texts = [t or b"" for t in text_bytes(b, "t")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["id", "size", "t"])
+
+    return map_batches(docs, run, "id long, size long, t binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have a Jaccard of least or more."""
+    """(a, b) of the possible pairs whose texts' shingle sets have a Jaccard of least or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        codec = pa.Codec("zstd")
 
-        def of(node: int, text: bytes) -> np.ndarray | None:
+        def of(node: int, size: int, text: bytes) -> np.ndarray | None:
             """The set of a node; none of a text that shares its id but has another set."""
             if node not in known:
-                got = distinct_shingles(text, shingle)
+                got = distinct_shingles(codec.decompress(text, size, asbytes=True) if size else b"", shingle)
                 if xxhash.xxh64_intdigest(got.tobytes(), SEED) != node % (1 << 64):
                     return None
                 known[node] = got
@@ -247,15 +302,16 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 
         for b in batches:
             keep = []
-            for x, tx, y, ty in zip(b.column("a").to_pylist(), text_bytes(b, "ta"), b.column("b").to_pylist(), text_bytes(b, "tb"), strict=True):
-                x, y = of(x, tx), of(y, ty)
+            for x, nx, tx, y, ny, ty in zip(*(b.column(c).to_pylist() for c in ("a", "na", "ta", "b", "nb", "tb")), strict=True):
+                x, y = of(x, nx, tx), of(y, ny, ty)
                 both = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and both + 1e-9 >= least * (len(x) + len(y) - both))
             known.clear()
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    got = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    return map_batches(got, run, "a long, b long")
+    of = lambda c: texts.select(F.col("id").alias(f"i{c}"), F.col("size").alias(f"n{c}"), F.col("t").alias(f"t{c}"))
+    got = pairs.join(of("a"), "ia").join(of("b"), "ib")
+    return map_batches(got.select("a", "na", "ta", "b", "nb", "tb"), run, "a long, b long")
 
 
 def near_identical(made: DataFrame, radius: int = 2) -> DataFrame:
@@ -275,33 +331,48 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     documents = docs.count()
-    made = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)), clean=True)
-    distinct = made.groupBy("node").agg(F.min(F.struct("doc_id", "fp", "n", "prefix")).alias("x")).select("node", "x.*")
-    posted = materialise(postings(distinct, 1 + documents // PART_ROWS), clean=True)
-    meets = posted.select("node").distinct()
-    carriers = made.select("node", "doc_id").join(meets, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + documents // PART_ROWS)
-    texts, name = bucketed(docs.join(carriers, "id").select("node", "t"), buckets)
+    tables = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables.append(materialise(df, clean=True))
+        return tables[-1]
+
+    whole = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)), clean=True)
+    distinct = whole.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("node", "x.*")
+    posted = keep(postings(distinct, 1 + documents // PART_ROWS))
+    made = keep(whole.select("doc_id", "node", "fp", "n"))
+    ids = whole.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "bits")).alias("x"))
+    sets = bucketed(ids.join(posted.select("node").distinct(), "node", "left_semi").select("node", "x.*").repartition(buckets, "node"), buckets, "node")
+    discard(whole)
+    # One shuffle of the texts: those that met stay where they were dealt out to.
+    texts = bucketed(packed(docs).repartition(buckets, "id").join(sets.select("id").distinct(), "id", "left_semi"), buckets, "id")
     # Rows that share an id are one document.
-    links = materialise(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
-    links = materialise(links.union(similar(near_identical(made), texts, shingle, least)), clean=True)
+    links = keep(made.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b").select("a", F.explode("all").alias("b")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return similar(keep(possible(pairs, sets, least)), texts, shingle, least)
+
+    links = keep(links.union(verified(near_identical(made))))
     most, seen = first, None
     while True:
-        comp = materialise(connected_components(links))
+        comp = keep(connected_components(links))
         rooted = posted.join(comp, "node", "left").select("part", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         found = candidates(rooted, least, most)
-        pairs = materialise(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
+        pairs = keep(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
         seen = pairs.where("a != b") if seen is None else seen.union(pairs.where("a != b"))
-        links = materialise(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(pairs.where("a != b"), texts, shingle, least)), clean=True)
+        links = keep(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs.where("a != b"))))
         if pairs.where("a = b").isEmpty():
             break
         most *= GROWTH
     comp = connected_components(links)
     of = made.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
     lows = of.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")
-    groups = materialise(of.join(lows, "root").select("doc_id", "group_id"))
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    remove(docs.sparkSession, f"{tables_dir(docs.sparkSession)}/{name}")
+    groups = materialise(of.join(lows, "root").select("doc_id", "group_id"), clean=True)
+    for t in (sets, texts):
+        drop(t)
+    for t in tables:
+        discard(t)
     return groups
 
 

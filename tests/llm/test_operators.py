@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import textwrap
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulsegrid.llm import bpe, embedding, fingerprint, langid, license, license_templates, lm, mixing, queries, sharding, simhash, substring
-from pulsegrid.llm._common import connected_components
+from pulsegrid.llm._common import connected_components, materialise, tables_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -138,6 +139,42 @@ def test_near_parts(spark, monkeypatch):
     assert assert_groups(spark, texts)
 
 
+def test_near_parities(spark):
+    """Parities never tell two sets further apart than they are, whatever their sizes, and rule out most unlike pairs."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 31, 32, 33, 300, 4000):
+        for m in (0, 1, n // 10, n // 2, n):
+            x, y = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, n + m // 2))
+            y[: max(0, n - m)] = x[: max(0, n - m)]
+            differ = len(np.setxor1d(x, np.unique(y)))
+            got = simhash.apart(simhash.parity(x), simhash.parity(np.unique(y)))
+            assert got <= differ and got % 2 == differ % 2
+            assert m < n or n < 300 or got > 2 * n / 9  # unlike
+
+
+def test_near_leaves_little(spark):
+    """The large tables of a search for near-duplicates go with it, and shuffle files with the table that was made of them."""
+    files = lambda top: {p for p in Path(top).rglob("*") if p.is_file()}
+    top = Path(tables_dir(spark).removeprefix("file://"))
+    texts = [" ".join([f"f{i % 4}_{k}" for k in range(60)] + [f"o{i}_{k}" for k in range(i % 12)]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = files(top)
+    groups = simhash.near_duplicate_groups(df)
+    left = {p.parent for p in files(top) - before if p.suffix == ".parquet"}
+    assert groups.count() == 60 and Path(groups.table_path.removeprefix("file://")) in left
+    # connected_components keeps what it returns: (node, root) of linked sets.
+    assert {tuple(spark.read.parquet(f"file://{d}").columns) for d in left} <= {("doc_id", "group_id"), ("u", "v")}
+    local = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p for d in local for p in files(d) if p.name.startswith("shuffle_") and p.suffix == ".data"}
+    before = shuffled()
+    made = df.groupBy("text").count().repartition(3, "count")
+    kept = materialise(made, clean=True)
+    until = time.monotonic() + 20
+    while (more := shuffled() - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not more and kept.count() == made.count() == len(set(texts))
+
+
 def test_substring(docs, none):
     rows, low = corpus(), {}
     for r in rows:
