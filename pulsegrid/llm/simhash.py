@@ -18,10 +18,14 @@ Two forms:
   or more share a shingle among the first n - ceil(t n) + 1 of each, so each
   distinct set is posted under these, and sets that meet under a shingle are
   compared unless their sizes or places rule a Jaccard of t out, or they are
-  already in one component: first by a few bytes of parities for each set, which
-  rule out most unlike pairs and no others, then by their texts. That is done in rounds: each pairs a set with a
-  bounded number of the others of its bucket, components grow by what was
-  verified, and the last round leaves no two components of a bucket uncompared.
+  already in one component: where they meet, by parities of a few bytes that come
+  with each posting, so that few pairs of a bucket of unlike sets are ever rows;
+  then by longer parities, once for each pair; then by their texts. Parities rule
+  out most unlike pairs and no others. That is done in rounds: each pairs a set
+  with a bounded number of the others of its bucket, the first in some of the
+  buckets only; components grow by what was verified, buckets that have nothing
+  left to compare go, and the last round leaves no two components of a bucket
+  uncompared.
   No pair is joined unverified. The sample decides the order alone: how many
   pairs meet, never which are found.
 
@@ -57,6 +61,10 @@ LAST, OFTEN, SAMPLE, SAMPLE_ROWS = 1 << 17, 3, 16, 20_000
 PART_ROWS = 4_000
 #: Others of a bucket that a set is paired with in the first round, and how the number grows.
 FIRST, GROWTH = 2, 32
+#: The first round takes one part in so many: alike sets share many shingles, and each that finds a pair again makes a row.
+SOME = 8
+#: Bytes of the parity that comes with each posting, at most: a power of two.
+FEW = 128
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -136,10 +144,36 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(x: bytes, length: int) -> bytes:
+    """A parity of so many bytes from one of as many or more: by the remainders of fewer bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, length), axis=0).tobytes() if len(x) > length else x
+
+
 def apart(x: bytes, y: bytes) -> int:
     """How many hashes, at least, are in one of two sets only, by their parities: each changes one bit. The longer one is folded to the remainders of the shorter."""
-    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    a, b = (np.frombuffer(folded(p, min(len(x), len(y))), np.uint8) for p in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+class Parities:
+    """Many parities of at most FEW bytes, to compare pairs of them at once."""
+
+    def __init__(self, parities: list[bytes]):
+        self.lengths = np.array([len(x) for x in parities], np.int64)
+        self.folds: dict[int, np.ndarray] = {}
+        for length in sorted(set(self.lengths.tolist()), reverse=True):
+            # Only those of that length or more are ever compared at it.
+            self.folds[length] = np.frombuffer(b"".join(folded(x, length) if len(x) >= length else bytes(length) for x in parities), np.uint64).reshape(-1, length // 8)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """apart of the pairs of the places x and y."""
+        out, length = np.zeros(len(x), np.int64), np.minimum(self.lengths[x], self.lengths[y])
+        for n, fold in self.folds.items():
+            (rows,) = np.nonzero(length == n)
+            for at in range(0, len(rows), 1 << 16):  # in pieces, so memory stays small
+                some = rows[at : at + (1 << 16)]
+                out[some] = np.bitwise_count(fold[x[some]] ^ fold[y[some]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +195,13 @@ def often(docs: DataFrame, documents: int, shingle: int) -> tuple[np.ndarray, np
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, node, fp, n, bits, prefix): a hash and the fingerprint of the shingle set, its size, its parity, and its first shingles; rows without words are left out."""
+    """(doc_id, node, fp, n, bits, few, prefix): a hash and the fingerprint of the shingle set, its size, its parity, whole and of FEW bytes at most, and its first shingles; rows without words are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for b in batches:
-            ids, nodes, prints, sizes, bits, firsts = [], [], [], [], [], []
+            ids, nodes, prints, sizes, bits, few, firsts = [], [], [], [], [], [], []
             for i, t in enumerate(text_bytes(b, "t")):
                 h = distinct_shingles(t, shingle)
                 if len(h):
@@ -181,10 +215,11 @@ def prefixes(docs: DataFrame, shingle: int, least: float, last: tuple[np.ndarray
                     prints.append(np.packbits(majority(h.reshape(-1, 1)), bitorder="little").view(np.int64)[0])
                     sizes.append(len(h))
                     bits.append(parity(h))
+                    few.append(folded(bits[-1], FEW))
                     firsts.append(h[np.argsort(rank, kind="stable")[:length]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.binary())], ["doc_id", "node", "fp", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(few, pa.binary()), pa.array(firsts, pa.binary())], ["doc_id", "node", "fp", "n", "bits", "few", "prefix"])
 
-    return map_batches(docs, run, "doc_id long, node long, fp long, n int, bits binary, prefix binary")
+    return map_batches(docs, run, "doc_id long, node long, fp long, n int, bits binary, few binary, prefix binary")
 
 
 def postings(sets: DataFrame, parts: int) -> DataFrame:
@@ -206,6 +241,21 @@ def postings(sets: DataFrame, parts: int) -> DataFrame:
     return map_batches(sets.select("node", "n", "prefix"), spread, schema).groupBy("part").applyInArrow(met, schema)
 
 
+def open_buckets(rooted: DataFrame, done: int) -> DataFrame:
+    """The postings of buckets of two roots or more, without buckets where each set was paired with as many others as done, as all their pairs are known."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        h, root = (rows.column(c).to_numpy() for c in ("h", "root"))
+        order = np.lexsort((root, h))
+        h, root = h[order], root[order]
+        (first,) = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        keep = (root[first] != root[first + size - 1]) & (size > done + 1)
+        return rows.take(pa.array(order[np.repeat(keep, size)]))
+
+    return rooted.groupBy("part").applyInArrow(run, "part int, h long, node long, n int, at int, root long")
+
+
 def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
     """(a, b) of sets of different roots that meet and may be alike, each with at most so many of its bucket; a row (0, 0) if that left any out."""
 
@@ -213,6 +263,7 @@ def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
         h, root, node, n, at = (rows.column(c).to_numpy() for c in ("h", "root", "node", "n", "at"))
         order = np.lexsort((node, root, h))
         h, root, node, n, at = (c[order] for c in (h, root, node, n, at))
+        bits = Parities(rows.column("few").take(pa.array(order)).to_pylist())
         here = np.arange(len(h))
         new = np.concatenate([[True], h[1:] != h[:-1]])
         bucket = np.maximum.accumulate(np.where(new, here, 0))
@@ -229,12 +280,14 @@ def candidates(posted: DataFrame, least: float, most: int) -> DataFrame:
             need = np.ceil(least / (1 + least) * (n[x].astype(np.int64) + n[y]) - 1e-6)
             ok = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1 >= need
             ok &= np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-6
+            x, y = x[ok], y[ok]
+            ok = bits.apart(x, y) <= (n[x].astype(np.int64) + n[y]) * ((1 - least) / (1 + least)) + 1e-6
             x, y = node[x[ok]], node[y[ok]]
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
             low = high
         if (others > most).any():
             found.append(np.zeros((1, 2), np.int64))
-        pairs = np.concatenate(found)
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return posted.groupBy("part").applyInArrow(run, "a long, b long").distinct()
@@ -257,10 +310,7 @@ def drop(df: DataFrame) -> None:
 
 
 def possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, ia, ib): the pairs whose sizes and parities don't rule a Jaccard of least out, and the ids of rows that have their texts.
-
-    Most pairs that meet are unlike; so they are told apart by some bytes for each shingle set, and texts are sent for the others only.
-    """
+    """(a, b, ia, ib): the pairs whose sizes and whole parities don't rule a Jaccard of least out, and the ids of rows that have their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,9 +390,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     whole = materialise(prefixes(docs, shingle, least, often(docs, documents, shingle)), clean=True)
     distinct = whole.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("node", "x.*")
-    posted = keep(postings(distinct, 1 + documents // PART_ROWS))
+    parts = 1 + documents // PART_ROWS
+    posted = keep(postings(distinct, parts))
     made = keep(whole.select("doc_id", "node", "fp", "n"))
-    ids = whole.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "bits")).alias("x"))
+    ids = whole.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("id"), "n", "bits", "few")).alias("x"))
     sets = bucketed(ids.join(posted.select("node").distinct(), "node", "left_semi").select("node", "x.*").repartition(buckets, "node"), buckets, "node")
     discard(whole)
     # One shuffle of the texts: those that met stay where they were dealt out to.
@@ -354,17 +405,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return similar(keep(possible(pairs, sets, least)), texts, shingle, least)
 
     links = keep(links.union(verified(near_identical(made))))
-    most, seen = first, None
+    most, seen, done = first, None, 0
     while True:
         comp = keep(connected_components(links))
         rooted = posted.join(comp, "node", "left").select("part", "h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-        found = candidates(rooted, least, most)
+        whole_round = seen is not None or parts == 1
+        left = open_buckets(rooted if whole_round else rooted.where(F.col("part") % SOME == 0), done)
+        found = candidates(left.join(sets.select("node", "few"), "node"), least, most)
         pairs = keep(found if seen is None else found.join(seen, ["a", "b"], "left_anti"))
         seen = pairs.where("a != b") if seen is None else seen.union(pairs.where("a != b"))
         links = keep(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs.where("a != b"))))
-        if pairs.where("a = b").isEmpty():
+        if whole_round and pairs.where("a = b").isEmpty():
             break
-        most *= GROWTH
+        done, most = most if whole_round else 0, most * GROWTH
     comp = connected_components(links)
     of = made.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
     lows = of.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").select("root", "group_id")

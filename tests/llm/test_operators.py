@@ -152,6 +152,31 @@ def test_near_parities(spark):
             assert m < n or n < 300 or got > 2 * n / 9  # unlike
 
 
+def test_near_parities_at_once(spark):
+    """Many parities, folded to a few bytes, are compared as one by one."""
+    rng = np.random.default_rng(6)
+    few = [simhash.folded(simhash.parity(np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64))), simhash.FEW) for k in (1, 2, 31, 32, 33, 100, 300, 600, 4000, 9000)]
+    x, y = (c.ravel() for c in np.meshgrid(range(len(few)), range(len(few))))
+    assert simhash.Parities(few).apart(x, y).tolist() == [simhash.apart(few[i], few[j]) for i, j in zip(x, y, strict=True)]
+
+
+def test_near_copies_that_are_unlike(spark, monkeypatch):
+    """Copies of a text, of which no two are alike, make hardly a row of pairs, though all of them meet; those alike, by some other changed word, are found."""
+    rng, texts = random.Random(8), []
+    for i in range(300):
+        text = [f"b{k}" for k in range(150)]
+        for k in rng.sample(range(4, 146), 3 + i % 2):
+            text[k] = f"c{i}_{k}"
+        texts.append(" ".join(text))
+        if i % 30 == 0:
+            texts.append(" ".join([*text[:-1], "end"]))
+    counts, possible = [], simhash.possible
+    monkeypatch.setattr(simhash, "possible", lambda pairs, *a: counts.append(pairs.count()) or possible(pairs, *a))
+    monkeypatch.setattr(simhash, "PART_ROWS", 60)
+    assert len(assert_groups(spark, texts)) >= 20
+    assert sum(counts) < 5 * len(texts)  # 20,000 or more, were those that meet all sent
+
+
 def test_near_leaves_little(spark):
     """The large tables of a search for near-duplicates go with it, and shuffle files with the table that was made of them."""
     files = lambda top: {p for p in Path(top).rglob("*") if p.is_file()}
